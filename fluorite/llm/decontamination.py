@@ -134,16 +134,43 @@ def _search(shared, least: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.75, radius: int = 23, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each document and item with a window of similarity ``least`` or more."""
-    spark = docs.sparkSession
     texts = docs.select(safe_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, item_id long, similarity double, first_word long"
+    parts = [mapped(texts, _search(shared, least), schema) for shared in _indexes(benchmark, size, radius, block_items, block_bytes)]
+    out = reduce(DataFrame.union, parts)
+    return out.select(real_id(), real_id("item_id"), "similarity", "first_word")
+
+
+def _indexes(benchmark: DataFrame, size: int, radius: int, block_items: int, block_bytes: int) -> list:
+    """A broadcast index of each block of items; one empty index if there are none."""
+    spark = benchmark.sparkSession
     items = benchmark.select(safe_id("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     count, total = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // block_items), -(-total // block_bytes))
-    schema = "doc_id long, item_id long, similarity double, first_word long"
-    out = None
+    out = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # one block
-        index = Index([r.item_id for r in rows], [r.text for r in rows], size, radius)
-        part = mapped(texts, _search(spark.sparkContext.broadcast(index), least), schema)
-        out = part if out is None else out.union(part)
-    return out.select(real_id(), real_id("item_id"), "similarity", "first_word")
+        out.append(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], size, radius)))
+    return out
+
+
+def _keep(shared, least: float):
+    search = _search(shared, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                rows = pa.RecordBatch.from_arrays([pa.array(range(piece.num_rows), pa.int64()), piece.column("text")], names=["doc_id", "text"])
+                good = np.ones(piece.num_rows, bool)
+                for found in search(iter([rows])):
+                    good[found.column("doc_id").to_numpy()] = False
+                yield piece.filter(pa.array(good))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.75, radius: int = 23, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, unchanged, that are contaminated by no item."""
+    for shared in _indexes(benchmark, size, radius, block_items, block_bytes):
+        docs = mapped(docs, _keep(shared, least), docs.schema)
+    return docs

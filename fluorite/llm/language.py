@@ -142,6 +142,8 @@ def _predict(model, dimensions: int, seed: int):
             for piece in pieces(batch):
                 keys, owner, number = trigrams(piece.column("text"))
                 n = piece.num_rows
+                if not n:
+                    continue
                 best, score = np.full(n, -1), np.zeros(n)
                 if len(keys) and len(langs):
                     unique, code = np.unique(keys, return_inverse=True)
@@ -162,13 +164,34 @@ def _predict(model, dimensions: int, seed: int):
     return run
 
 
+def _units(model: dict[str, np.ndarray], dimensions: int) -> tuple[list[str], np.ndarray]:
+    langs = sorted(model)
+    return langs, np.array([model[k] / max(np.sqrt((model[k].astype(np.float64) ** 2).sum()), 1e-12) for k in langs], np.float64).reshape(-1, dimensions)
+
+
 def identify(docs: DataFrame, held_out: Column | None = None, dimensions: int = 1024, seed: int = 7) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs; prototypes come from the rows not held out."""
     flag = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) == 2 if held_out is None else held_out
     rows = docs.select(safe_id().alias("doc_id"), F.coalesce(flag, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit_profiles(rows.where("not held_out"), dimensions, seed)
-    langs = sorted(model)
-    unit = np.array([model[k] / max(np.sqrt((model[k].astype(np.float64) ** 2).sum()), 1e-12) for k in langs], np.float64).reshape(-1, dimensions)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, unit))  # max_languages vectors at most
+    shared = docs.sparkSession.sparkContext.broadcast(_units(model, dimensions))  # max_languages vectors at most
     out = mapped(rows.drop("lang"), _predict(shared, dimensions, seed), "doc_id long, held_out boolean, lang_pred string, score double")
     return out.select(real_id(), "held_out", "lang_pred", "score")
+
+
+def _keep(predict, column: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, column=column):
+                (said,) = predict(iter([pa.RecordBatch.from_arrays([piece.column(column)], names=["text"])]))
+                good = pc.and_(pc.not_equal(said.column("lang_pred"), UND), pc.greater_equal(said.column("score"), least))
+                yield piece.filter(good)
+
+    return run
+
+
+def keep_identified(docs: DataFrame, least: float = 0.05, dimensions: int = 1024, seed: int = 7) -> DataFrame:
+    """The rows of docs, unchanged, whose text has letters and a cosine of least or more with its nearest prototype."""
+    model = fit_profiles(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2), dimensions, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(_units(model, dimensions))
+    return mapped(docs, _keep(_predict(shared, dimensions, seed), "text", least), docs.schema)

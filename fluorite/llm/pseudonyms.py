@@ -172,13 +172,18 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-me", column: str = "text") -> DataFrame:
-    """docs with the column rewritten, and pseudonyms: an array of (kind, value) structs of the values put in, in order."""
-    found = docs.withColumn("pseudonyms", F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0)))
-    changed = found.withColumn("pseudonyms", F.transform("pseudonyms", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"))))
-    changed = changed.withColumn("pseudonyms", F.transform("pseudonyms", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"))))
-    values = F.concat(F.transform("pseudonyms", lambda x: x["value"]), F.array(F.lit("")))
-    parts = F.split(F.col(column), PATTERN, -1)
+def pseudonymise(docs: DataFrame, key: str = "change-me", column: str = "text", report: str | None = "pseudonyms") -> DataFrame:
+    """docs with the column rewritten; report: a column for the (kind, value) structs of the values put in, in order."""
+    name = "__found"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, F.regexp_extract_all(F.col(column).cast("string"), F.lit(PATTERN), F.lit(0)))
+    found = found.withColumn(name, F.transform(name, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"))))
+    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"))))
+    values = F.concat(F.transform(name, lambda x: x["value"]), F.array(F.lit("")))
+    parts = F.split(F.col(column).cast("string"), PATTERN, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, values, lambda a, b: F.array(a, b))), "")
-    text = F.when(F.size("pseudonyms") > 0, rebuilt).otherwise(F.col(column))
-    return changed.withColumn(column, text).withColumn("pseudonyms", F.coalesce(F.filter("pseudonyms", lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")))
+    changed = found.withColumn(column, F.when(F.size(name) > 0, rebuilt).otherwise(F.col(column).cast("string")))
+    if report:
+        changed = changed.withColumn(report, F.coalesce(F.filter(name, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")))
+    return changed.drop(name)

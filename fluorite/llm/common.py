@@ -57,6 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # lets the context cleaner drop the shuffle files of what is now stored
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

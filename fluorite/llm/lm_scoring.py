@@ -177,8 +177,13 @@ class SuffixTree:
                 state[self.kept[d][i] == context] = d
         out = np.empty(len(keys))
         for d in range(self.depth + 1):
-            at = state == d
-            out[at] = np.log10(self._smoothed(self.full, keys[at], d))
+            at = np.flatnonzero(state == d)
+            pairs, p = self.full[d][1], self.full[d][2]
+            short = keys[at] & np.uint64(2 ** (8 * (d + 1)) - 1)
+            j = np.minimum(np.searchsorted(pairs, short), max(0, len(pairs) - 1))
+            seen = pairs[j] == short if len(pairs) else np.zeros(len(at), bool)
+            out[at[seen]] = np.log10(p[j[seen]])
+            out[at[~seen]] = np.log10(self._smoothed(self.full, keys[at[~seen]], d))
         return out
 
 

@@ -16,7 +16,7 @@ One tree over a corpus would compare everything with everything, so points are f
   that lie in one component: what links within a component can't change the result. So a group of near copies costs
   about its size, and no link between components is lost.
 
-Shuffled: 20 bytes for each prefix shingle (packed), then only what shares one. Broadcast: the sketch, of fixed size.
+Shuffled: 12 bytes for each prefix shingle (packed), then only what shares one. Broadcast: the sketch, of fixed size.
 Hashes are 64 bits; sets are equal for this join if their sizes and the 64-bit sums of their hashes are.
 
 Defined cases: null, empty or wordless text: n_shingles 0, its own component; fewer than five words: one shingle, the
@@ -98,6 +98,7 @@ def _prefixes(sketch, size: int, percent: int, n: int):
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])])
             keys, classes = keys[new], classes[new]
             order, bounds = split_by(buckets_of(keys, n), n)
+            keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # the bucket has the rest; a clash only adds candidates
             return rows_of(_ENTRIES, [(b, keys[o].tobytes(), classes[o].tobytes()) for b in range(n) if len(o := order[bounds[b] : bounds[b + 1]])])
 
         for batch in batches:
@@ -127,7 +128,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for b, k, c in zip(*(batch.column(x).to_pylist() for x in _ENTRIES.names)):
-            held.setdefault(b, []).append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
+            held.setdefault(b, []).append((np.frombuffer(k, np.uint32), np.frombuffer(c, np.int64)))
     for parts in held.values():
         keys, classes = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((classes, keys))
@@ -155,24 +156,56 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # ------------------------------------------------------------------------------------------------ points, trees
-_POINTS = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("shingles", pa.binary())])
+_POINTS = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("point", pa.binary())])
+_SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
+#: Ids of at most this number of classes are broadcast to the scan that picks their texts (16 MB); beyond, a join shuffles.
+PICKED = 2_000_000
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
     """Counts of shingles per group; more groups (a power of two) for larger sets."""
-    groups = min(1024, max(16, 1 << (len(s) // 4).bit_length()))
+    groups = min(2048, max(32, 1 << (len(s) // 2).bit_length()))
     return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 
+def _pack(point: np.ndarray) -> bytes:
+    """One byte a count where that is enough, else four; the first byte says which."""
+    small = point.max(initial=0) < 256
+    return (b"\1" if small else b"\4") + point.astype(np.uint8 if small else np.int32).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.int32, offset=1).astype(np.int32)
+
+
 def _points(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                yield rows_of(_POINTS, [(_class_of(s), len(s), point_of(s).tobytes(), s.tobytes()) for s in _sets(piece.column("text"), size)])
+                yield rows_of(_POINTS, [(_class_of(s), len(s), _pack(point_of(s))) for s in _sets(piece.column("text"), size)])
 
     return run
 
 
+def _whole_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                yield rows_of(_SETS, [(_class_of(s), s.tobytes()) for s in _sets(piece.column("text"), size)])
+
+    return run
+
+
+def _texts_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each wanted class (a column ``class``, distinct); repeated rows count once."""
+    ids = stored(wanted.join(classes, "class").select(F.col("first").alias("doc_id")), "picked")
+    if ids.count() <= PICKED:
+        ids = F.broadcast(ids)
+    picked = texts.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+    once = picked.select("doc_id", "h").groupBy("doc_id", "h").count().where("count > 1").select("doc_id").limit(1)
+    return picked.dropDuplicates(["doc_id", "h"]) if once.head() else picked
+
+
 class CountTree:
     """An R-tree over points of counts, packed by component and size; walks give pairs whose bounds reach the threshold."""
 
@@ -252,7 +285,7 @@ def _walk(percent: int, full: bool):
 
         def pairs() -> pa.RecordBatch:
             classes = np.array([h[0] for h in held], np.int64)
-            tree = CountTree(np.array([h[1] for h in held], np.int64), [np.frombuffer(h[2], np.int32) for h in held], np.array([h[3] for h in held], np.int64), percent)
+            tree = CountTree(np.array([h[1] for h in held], np.int64), [_unpack(h[2]) for h in held], np.array([h[3] for h in held], np.int64), percent)
             i, j = tree.across() if full else tree.pivots()
             a, b = classes[i], classes[j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
@@ -286,8 +319,9 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    sets = points.select("class", "shingles")
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = stored(mapped(_texts_of(texts, classes, wanted), _whole_sets(size), "class long, shingles binary"), "sets")
     with_x = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     with_both = with_x.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     return mapped(with_both.select("a", "b", "x", "y"), _verify(percent), "a long, b long")
@@ -320,18 +354,17 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     trees = trees.groupBy("tree").agg(F.min("members").alias("members"))
     members = stored(mapped(trees, _members, "tree long, class long"), "members")
 
-    wanted = members.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
-    points = mapped(texts.join(wanted, "doc_id", "left_semi"), _points(size), "class long, n long, point binary, shingles binary")
-    points = stored(points, "points").dropDuplicates(["class"])
+    points = stored(mapped(_texts_of(texts, classes, members.select("class").distinct()), _points(size), "class long, n long, point binary"), "points")
 
     pairs = stored(_tree_pairs(members, points, None, percent), "pairs-1")
-    links = stored(_verified(pairs, points, percent), "links-1")
+    links = stored(_verified(pairs, texts, classes, size, percent), "links-1")
     near = stored(components(links, "join-1"), "components-1")
     labelled = members.join(near.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("tree").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high and k > 2").select("tree")
-    rest = _tree_pairs(members.join(mixed, "tree", "left_semi"), points, near, percent).join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, points, percent), "links-2")
-    linked = components(links.union(more), "join-2")
+    rest = stored(_tree_pairs(members.join(mixed, "tree", "left_semi"), points, near, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    more = stored(_verified(rest, texts, classes, size, percent), "links-2")
+    joined = near.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a component as a star
+    linked = components(joined.union(more), "join-2")
 
     named = linked.withColumnRenamed("node", "class").join(classes, "class")
     least = named.groupBy("component").agg(F.min("first").alias("least"))

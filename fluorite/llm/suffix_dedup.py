@@ -15,7 +15,7 @@ with equal texts are settled first: only the smallest id of each text goes on. O
 * The partitions that sent a segment get back, for each of its windows, that smallest doc_id.
 
 No bucket gets a segment more than once from a partition, so a passage in a third of all documents is no hot spot. Texts
-are shuffled by id twice in full, and a third time where they hold a name that occurs elsewhere. Segments are compared
+are shuffled by id three times. Segments are compared
 by 64-bit hashes within a name.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; a null id counts as the smallest id; rows
@@ -144,7 +144,7 @@ def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 # ---------------------------------------------------------------------------------------------- segments to buckets
-_OUT = pa.schema([("bucket", pa.int32()), ("p", pa.int32()), ("names", pa.binary()), ("hashes", pa.binary()), ("firsts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("doc_id", pa.int64()), ("text", pa.large_binary())])
+_OUT = pa.schema([("bucket", pa.int32()), ("p", pa.int32()), ("names", pa.binary()), ("hashes", pa.binary()), ("firsts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("doc_id", pa.int64())])
 
 
 def _shared_segments(raw, at, shared: np.ndarray, length: int, gram: int, n: int):
@@ -177,7 +177,7 @@ def _send_segments(length: int, gram: int, n: int):
                 o = order[bounds[b] : bounds[b + 1]]
                 if len(o):
                     low = (names[o] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    out.append((b, now, low.tobytes(), hashes[o].tobytes(), firsts[o].tobytes(), sizes[o].astype(np.int32).tobytes(), data[gather(begin[o], sizes[o])].tobytes(), None, None))
+                    out.append((b, now, low.tobytes(), hashes[o].tobytes(), firsts[o].tobytes(), sizes[o].astype(np.int32).tobytes(), data[gather(begin[o], sizes[o])].tobytes(), None))
             held, size = [], 0
             return rows_of(_OUT, out)
 
@@ -200,7 +200,7 @@ def _send_segments(length: int, gram: int, n: int):
                     doc = ints(piece, "doc_id")
                     held.append((names, hashes, doc[owner], stop - first, raw[gather(first, stop - first)]))
                     size += int((stop - first).sum())
-                    yield rows_of(_OUT, [(None, p, None, None, None, None, None, int(doc[i]), raw[at[i] : at[i + 1]].tobytes()) for i in np.unique(owner)])
+                    yield rows_of(_OUT, [(None, p, None, None, None, None, None, int(doc[i])) for i in np.unique(owner)])
                     if size > 32 << 20:
                         yield flush()
         if held:
@@ -327,19 +327,22 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_span
 
 def _remove(length: int, gram: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, now = Side(["hashes", "counts", "least"]), None
+        side, now = Side(["hashes", "counts", "least", "doc_id"]), None
         for batch in batches:
             for p, rows, docs in side.documents(batch):
                 if p != now:
                     now = p
+                    ids = {r["doc_id"] for r in rows if r["hashes"] is None}
+                    rows = [r for r in rows if r["hashes"] is not None]
                     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
                     counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows] or [np.zeros(0, np.int32)]).astype(np.int64)
                     least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
                     begin = np.cumsum(counts) - counts
                     order = np.argsort(hashes)
                     hashes, counts, begin = hashes[order], counts[order], begin[order]
+                docs = docs.filter(pa.array([d in ids for d in docs.column("doc_id").to_pylist()], pa.bool_()))
                 for piece in pieces(docs):
-                    raw, at = bytes_of(piece.column("text").cast(pa.large_string()))
+                    raw, at = bytes_of(piece.column("text"))
                     names, first, last, hasher = segments(raw, at, length, gram)
                     found = hasher(first, last + length - 1)
                     place = np.minimum(np.searchsorted(hashes, found), max(0, len(hashes) - 1))
@@ -364,7 +367,7 @@ def _remove(length: int, gram: int, n: int):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, gram: int = 32) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept (the remaining bytes; null where nothing was removed) per document."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -376,12 +379,12 @@ def without_repeats(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFr
 
     asked = mapped(with_side(rows, ids, n), _name_documents(length, gram, n), "bucket int, p int, once binary, often binary")
     names = stored(mapped(by_number(asked, "bucket", n), _shared_names, "p int, names binary"), "names")
-    sent = mapped(with_side(rows, ids.unionByName(names, allowMissingColumns=True), n), _send_segments(length, gram, n), "bucket int, p int, names binary, hashes binary, firsts binary, sizes binary, data binary, doc_id long, text binary")
+    sent = mapped(with_side(rows, ids.unionByName(names, allowMissingColumns=True), n), _send_segments(length, gram, n), "bucket int, p int, names binary, hashes binary, firsts binary, sizes binary, data binary, doc_id long")
     sent = stored(sent, "segments")
     segment_rows = sent.where("bucket is not null").select(*_OUT.names[:7])
     answers = mapped(by_number(segment_rows, "bucket", n), _expand(length), "p int, hashes binary, counts binary, least binary")
-    suspects = sent.where("bucket is null").select("doc_id", "p", F.col("text").cast("string").alias("text"))
-    done = mapped(with_side(suspects, answers, n), _remove(length, gram, n), "doc_id long, n_removed long, n_spans long, kept binary")
+    suspects = sent.where("bucket is null").select("doc_id", "p")
+    done = mapped(with_side(rows, answers.unionByName(suspects, allowMissingColumns=True), n), _remove(length, gram, n), "doc_id long, n_removed long, n_spans long, kept binary")
 
     copies = firsts.select("digest", F.col("doc_id").alias("first"))
     base = narrow.drop("p").join(copies, "digest")

@@ -1,9 +1,12 @@
 """Registered queries of the engine and their SQL twins."""
 
+from . import core, science  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

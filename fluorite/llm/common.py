@@ -87,6 +87,31 @@ def by_number(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.repartitionById(n, F.col(column))
 
 
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("p", pa.int32()), ("payload", pa.binary())])
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for piece in pieces(batch, 64 << 20):
+            order, bounds = split_by(ints(piece, "p"), int(ints(piece, "p").max()) + 1)
+            out = []
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                rows = piece.take(pa.array(order[bounds[p] : bounds[p + 1]]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(rows)
+                out.append((p, sink.getvalue().to_pybytes()))
+            yield rows_of(schema, out)
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """(p, payload): the rows of each p that one task has in a batch, as a compressed Arrow stream; halves what a text shuffle moves."""
+    return mapped(docs, _pack_rows, "p int, payload binary")
+
+
+def unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(payload)
+
+
 def with_side(docs: DataFrame, side: DataFrame, n: int) -> DataFrame:
     """docs and side rows (both with p) in partition p, side rows first within each p; kind is 0 for side rows."""
     both = side.withColumn("kind", F.lit(0)).unionByName(docs.withColumn("kind", F.lit(1)), allowMissingColumns=True)

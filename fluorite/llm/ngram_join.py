@@ -246,10 +246,13 @@ class CountTree:
         return self.order[left[i]], self.order[right[j]]
 
     def pivots(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each leaf's members against its first, and the leaves' firsts against the first of all."""
+        """Each leaf's members against its first, the leaves' firsts against the first of all, and neighbours in the order of points."""
         parts = [self._pairs(np.array([a]), np.arange(a + 1, b)) for a, b, *_ in self.levels[0]]
         heads = np.array([x[0] for x in self.levels[0]][1:], np.int64)
         parts.append(self._pairs(np.array([0]), heads))
+        if len(self.levels[0]) > 1:
+            near = np.lexsort(self.points.T[:16])
+            parts += [self._pairs(near[k : k + 1], near[k + 1 : k + 3]) for k in range(len(near) - 1)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def across(self) -> tuple[np.ndarray, np.ndarray]:
@@ -281,24 +284,38 @@ def _walk(percent: int, full: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def pairs() -> pa.RecordBatch:
+        now, held, found, total = None, [], [], 0
+
+        def unique() -> pa.RecordBatch:
+            """The pairs found since last time, each once: trees with common members find the same."""
+            nonlocal found, total
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            order = np.lexsort((b, a))
+            a, b, found, total = a[order], b[order], [], 0
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], schema=schema)
+
+        def pairs() -> None:
+            nonlocal total
             classes = np.array([h[0] for h in held], np.int64)
             tree = CountTree(np.array([h[1] for h in held], np.int64), [_unpack(h[2]) for h in held], np.array([h[3] for h in held], np.int64), percent)
             i, j = tree.across() if full else tree.pivots()
             a, b = classes[i], classes[j]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            found.append((np.minimum(a, b), np.maximum(a, b)))
+            total += len(a)
 
         for batch in batches:
             for tree, *row in zip(*(batch.column(c).to_pylist() for c in ("tree", "class", "n", "point", "component"))):
                 if tree != now:
                     if len(held) > 1:
-                        yield pairs()
+                        pairs()
+                    if total > 1 << 20:
+                        yield unique()
                     now, held = tree, []
                 held.append(row)
         if len(held) > 1:
-            yield pairs()
+            pairs()
+        yield unique()
 
     return run
 

@@ -15,7 +15,7 @@ with equal texts are settled first: only the smallest id of each text goes on. O
 * The partitions that sent a segment get back, for each of its windows, that smallest doc_id.
 
 No bucket gets a segment more than once from a partition, so a passage in a third of all documents is no hot spot. Texts
-are shuffled by id three times. Segments are compared
+are shuffled by id three times, compressed. Segments are compared
 by 64-bit hashes within a name.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; a null id counts as the smallest id; rows
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, buckets_of, by_number, bytes_of, ints, mapped, partitions, pieces, real_id, routed, rows_of, stored, with_side
+from .common import Hasher, buckets_of, by_number, bytes_of, ints, mapped, packed_rows, partitions, pieces, real_id, routed, rows_of, stored, unpacked, with_side
 
 _SPAN = 1 << 21  # bytes of segments in one transform, at most, unless one name has more
 
@@ -86,9 +86,9 @@ class Side:
                 self.p, self.rows = p, []
             kind = ints(mine, "kind")
             self.rows += [r for r in mine.filter(pa.array(kind == 0)).select(self.column).to_pylist()] if len(self.column) else []
-            docs = mine.filter(pa.array(kind == 1))
-            if docs.num_rows:
-                yield int(p), self.rows, docs
+            for payload in mine.filter(pa.array(kind == 1)).column("payload"):
+                for docs in unpacked(payload.as_py()):
+                    yield int(p), self.rows, docs
 
 
 def _name_documents(length: int, gram: int, n: int):
@@ -372,19 +372,20 @@ def without_repeats(docs: DataFrame, length: int = 50, gram: int = 32) -> DataFr
     spark = docs.sparkSession
     n = partitions(spark)
     rows = routed(docs)
+    texts = packed_rows(rows)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = stored(rows.select("doc_id", "p", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest")), "digests")
     firsts = stored(narrow.groupBy("digest").agg(F.min(F.struct("doc_id", "p")).alias("m")).select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.p").alias("p")), "firsts")
     ids = firsts.select("doc_id", "p")
 
-    asked = mapped(with_side(rows, ids, n), _name_documents(length, gram, n), "bucket int, p int, once binary, often binary")
+    asked = mapped(with_side(texts, ids, n), _name_documents(length, gram, n), "bucket int, p int, once binary, often binary")
     names = stored(mapped(by_number(asked, "bucket", n), _shared_names, "p int, names binary"), "names")
-    sent = mapped(with_side(rows, ids.unionByName(names, allowMissingColumns=True), n), _send_segments(length, gram, n), "bucket int, p int, names binary, hashes binary, firsts binary, sizes binary, data binary, doc_id long")
+    sent = mapped(with_side(texts, ids.unionByName(names, allowMissingColumns=True), n), _send_segments(length, gram, n), "bucket int, p int, names binary, hashes binary, firsts binary, sizes binary, data binary, doc_id long")
     sent = stored(sent, "segments")
     segment_rows = sent.where("bucket is not null").select(*_OUT.names[:7])
     answers = mapped(by_number(segment_rows, "bucket", n), _expand(length), "p int, hashes binary, counts binary, least binary")
     suspects = sent.where("bucket is null").select("doc_id", "p")
-    done = mapped(with_side(rows, answers.unionByName(suspects, allowMissingColumns=True), n), _remove(length, gram, n), "doc_id long, n_removed long, n_spans long, kept binary")
+    done = mapped(with_side(texts, answers.unionByName(suspects, allowMissingColumns=True), n), _remove(length, gram, n), "doc_id long, n_removed long, n_spans long, kept binary")
 
     copies = firsts.select("digest", F.col("doc_id").alias("first"))
     base = narrow.drop("p").join(copies, "digest")

@@ -35,7 +35,7 @@ _HEAD = struct.Struct("<4s3i")
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def repair(ids: np.ndarray, end: int, rounds: int = 3, least_count: int = 8, most_rules: int = 2000, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, end: int, rounds: int = 2, least_count: int = 16, most_rules: int = 2000, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as (left, right) rows, expansion lengths)."""
     symbols, rules = ids.astype(np.int64), []
     lengths: list[int] = []
@@ -43,7 +43,12 @@ def repair(ids: np.ndarray, end: int, rounds: int = 3, least_count: int = 8, mos
         if len(symbols) < 2:
             break
         key = symbols[:-1] << 32 | symbols[1:]
-        pairs, counts = np.unique(key[(symbols[:-1] != end) & (symbols[:-1] != symbols[1:])], return_counts=True)
+        # a cell of a hashed count is no smaller than the count of any pair in it, so only pairs of full cells are counted
+        cell = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        full = np.bincount(cell, minlength=1 << 20) >= least_count
+        near = np.flatnonzero(full[cell] & (symbols[:-1] != end) & (symbols[:-1] != symbols[1:]))
+        key = key[near]
+        pairs, counts = np.unique(key, return_counts=True)
         often = np.flatnonzero(counts >= least_count)
         often = often[np.lexsort((pairs[often], -counts[often]))][: 4 * most_rules]
         role: dict[int, int] = {}
@@ -59,7 +64,8 @@ def repair(ids: np.ndarray, end: int, rounds: int = 3, least_count: int = 8, mos
             break
         chosen = np.sort(np.array(chosen))
         place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = np.flatnonzero(chosen[place] == key)
+        hit = chosen[place] == key
+        place, hit = place[hit], near[hit]
         if len(hit) < least_gain * len(symbols):
             break
         first = RULE + len(lengths)
@@ -67,7 +73,7 @@ def repair(ids: np.ndarray, end: int, rounds: int = 3, least_count: int = 8, mos
             rules.append((left, right))
             lengths.append(sum(lengths[s - RULE] if s >= RULE else 1 for s in (left, right)))
         symbols = symbols.copy()
-        symbols[hit] = first + place[hit]
+        symbols[hit] = first + place
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         symbols = symbols[keep]

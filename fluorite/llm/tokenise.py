@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Pre-tokens kept per worker; when full, the store starts anew.
-STORE = 400_000
+STORE = 1_000_000
 _ODD = "[^\t\n\r -~¡-įı-ɏ]"
 _loaded: dict[str, "Encoder"] = {}
 
@@ -23,6 +23,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Codes(dict):
+    """Numbers for pre-tokens; new ones get the next number and wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.new.append(piece)
+        return code
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,16 +59,32 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.code = _Codes()
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
-        flat = np.fromiter((i for x in got for i in x), np.uint32)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
-        self.flat = np.concatenate([self.flat, flat])
+        """Encode new pre-tokens: words a thousand to a text, which splits into exactly them, all others on their own."""
+        mark = "" if self.lower else " "
+        plain = np.array([p.isalpha() if self.lower else p[0] == " " and p[1:].isalpha() for p in new], bool)
+        words, others = [p for p, x in zip(new, plain) if x], [p for p, x in zip(new, plain) if not x]
+        joined = [("" if mark else " ").join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        flats, sizes = [self.flat], [np.zeros(0, np.int64)]
+        for k, e in enumerate(self.tokenizer.encode_batch(joined, add_special_tokens=False)):
+            count = np.bincount(np.array(e.word_ids))
+            if len(count) != len(words[1000 * k : 1000 * k + 1000]):
+                raise ValueError("words were split anew")
+            flats.append(np.array(e.ids, np.uint32))
+            sizes.append(count)
+        for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False):
+            flats.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        size = np.concatenate(sizes)
+        start = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(~plain, kind="stable")  # words first, as above
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        self.start, self.size = np.concatenate([self.start, start[place]]), np.concatenate([self.size, size[place]])
+        self.flat = np.concatenate(flats)
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by end, and len+1 offsets; null counts as empty."""
@@ -72,12 +101,11 @@ class Encoder:
             else:
                 pieces.append(self.split(text.lower() if self.lower else text))
         flat = [p for x in pieces for p in x]
-        codes = list(map(self.code.get, flat))
-        if None in codes:
-            self._learn(list({p for p, c in zip(flat, codes) if c is None}))
-            codes = list(map(self.code.__getitem__, flat))
-        codes = np.array(codes, np.int64)
-        sizes = self.at[codes + 1] - self.at[codes]
+        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        if self.code.new:
+            self._learn(self.code.new)
+            self.code.new = []
+        sizes = self.size[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         of_text = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
         lengths = ends[of_text[1:]] - ends[of_text[:-1]] + 1
@@ -87,7 +115,7 @@ class Encoder:
         out = np.empty(offsets[-1], np.uint32)
         shift = np.repeat(offsets[:-1] - ends[of_text[:-1]], np.diff(of_text)) + ends[:-1]
         inner = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-        out[np.repeat(shift, sizes) + inner] = self.flat[np.repeat(self.at[codes], sizes) + inner]
+        out[np.repeat(shift, sizes) + inner] = self.flat[np.repeat(self.start[codes], sizes) + inner]
         out[offsets[1:] - 1] = end
         for i, x in whole.items():
             out[offsets[i] : offsets[i + 1] - 1] = x

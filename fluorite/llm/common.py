@@ -58,7 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     df.sparkSession._jvm.System.gc()  # lets the context cleaner drop the shuffle files of what is now stored
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -313,7 +321,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
         small = star.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = stored(small.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), f"{name}-{step}")
         summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if summary(new) == summary(edges):
+        settled = summary(new) == summary(edges)
+        released(edges)
+        if settled:
             break
         edges = new
     roots = new.select(F.col("b").alias("a")).distinct().join(new.select("a"), "a", "left_anti")

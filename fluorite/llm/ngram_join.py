@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, buckets_of, by_number, components, ints, mapped, mix, partitions, pieces, rows_of, safe_id, split_by, stored
+from .common import NULL_ID, Words, buckets_of, by_number, components, ints, mapped, mix, partitions, pieces, released, rows_of, safe_id, split_by, stored
 
 SKETCH = 1 << 20  # counters of the frequency sketch
 _LEAF, _FAN = 32, 16
+FIRST_TREES = 16  # of each class, told to its other trees so that they leave out the pairs found there
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -169,12 +170,17 @@ def point_of(s: np.ndarray) -> np.ndarray:
 
 
 def _pack(point: np.ndarray) -> bytes:
-    """One byte a count where that is enough, else four; the first byte says which."""
-    small = point.max(initial=0) < 256
-    return (b"\1" if small else b"\4") + point.astype(np.uint8 if small else np.int32).tobytes()
+    """Half a byte a count where that is enough, else one, else four; the first byte says which."""
+    most = point.max(initial=0)
+    if most < 16:
+        return b"\0" + (point[::2] | point[1::2] << 4).astype(np.uint8).tobytes()
+    return (b"\1" if most < 256 else b"\4") + point.astype(np.uint8 if most < 256 else np.int32).tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
+    if packed[0] == 0:
+        both = np.frombuffer(packed, np.uint8, offset=1)
+        return np.stack([both & 15, both >> 4], axis=1).ravel().astype(np.int32)
     return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.int32, offset=1).astype(np.int32)
 
 
@@ -207,10 +213,17 @@ def _texts_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
 
 
 class CountTree:
-    """An R-tree over points of counts, packed by component and size; walks give pairs whose bounds reach the threshold."""
+    """An R-tree over points of counts, packed by component and size; walks give pairs whose bounds reach the threshold.
 
-    def __init__(self, sizes: np.ndarray, points: list[np.ndarray], component: np.ndarray, percent: int):
-        self.percent = percent
+    earlier: per member, some trees that come before this one and hold it, too; what two members share there is theirs.
+    """
+
+    def __init__(self, sizes: np.ndarray, points: list[np.ndarray], component: np.ndarray, percent: int, earlier: list[np.ndarray] | None = None):
+        self.percent, self.earlier = percent, None
+        if earlier is not None and (width := max(len(x) for x in earlier)):
+            self.earlier, self.known = np.zeros((len(earlier), width), np.int64), np.zeros((len(earlier), width), bool)
+            for k, x in enumerate(earlier):
+                self.earlier[k, : len(x)], self.known[k, : len(x)] = x, True
         self.order = np.lexsort((sizes, component))
         groups = min(len(p) for p in points)
         self.points = np.array([points[i].reshape(-1, groups).sum(axis=0) for i in self.order])  # folded to the fewest groups
@@ -245,6 +258,13 @@ class CountTree:
         i, j = np.nonzero(good)
         return self.order[left[i]], self.order[right[j]]
 
+    def _first_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of members have no earlier tree in common, as far as their lists tell."""
+        if self.earlier is None:
+            return np.ones(len(i), bool)
+        met = (self.earlier[i][:, :, None] == self.earlier[j][:, None, :]) & self.known[i][:, :, None] & self.known[j][:, None, :]
+        return ~met.any(axis=(1, 2))
+
     def pivots(self) -> tuple[np.ndarray, np.ndarray]:
         """Each leaf's members against its first, the leaves' firsts against the first of all, and neighbours in the order of points."""
         parts = [self._pairs(np.array([a]), np.arange(a + 1, b)) for a, b, *_ in self.levels[0]]
@@ -256,7 +276,7 @@ class CountTree:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def across(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of different components whose bounds reach the threshold."""
+        """All pairs of different components whose bounds reach the threshold and that no earlier tree gives."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         top = len(self.levels) - 1
         todo = [(top, 0, 0)]
@@ -274,7 +294,9 @@ class CountTree:
             place = np.empty(len(self.order), np.int64)
             place[self.order] = np.arange(len(self.order))
             keep = (self.component[place[i]] != self.component[place[j]]) & ((place[i] < place[j]) if x == y else True)
-            out.append((i[keep], j[keep]))
+            i, j = i[keep], j[keep]
+            first = self._first_here(i, j)
+            out.append((i[first], j[first]))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
@@ -298,14 +320,15 @@ def _walk(percent: int, full: bool):
         def pairs() -> None:
             nonlocal total
             classes = np.array([h[0] for h in held], np.int64)
-            tree = CountTree(np.array([h[1] for h in held], np.int64), [_unpack(h[2]) for h in held], np.array([h[3] for h in held], np.int64), percent)
+            earlier = [np.array([t for t in h[4] if t < now], np.int64) for h in held] if full else None
+            tree = CountTree(np.array([h[1] for h in held], np.int64), [_unpack(h[2]) for h in held], np.array([h[3] for h in held], np.int64), percent, earlier)
             i, j = tree.across() if full else tree.pivots()
             a, b = classes[i], classes[j]
             found.append((np.minimum(a, b), np.maximum(a, b)))
             total += len(a)
 
         for batch in batches:
-            for tree, *row in zip(*(batch.column(c).to_pylist() for c in ("tree", "class", "n", "point", "component"))):
+            for tree, *row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
                 if tree != now:
                     if len(held) > 1:
                         pairs()
@@ -336,21 +359,24 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     sets = stored(mapped(_texts_of(texts, classes, wanted), _whole_sets(size), "class long, shingles binary"), "sets")
     with_x = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     with_both = with_x.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    return mapped(with_both.select("a", "b", "x", "y"), _verify(percent), "a long, b long")
+    links = stored(mapped(with_both.select("a", "b", "x", "y"), _verify(percent), "a long, b long"), name)
+    released(sets)
+    return links
 
 
 def _tree_pairs(members: DataFrame, points: DataFrame, component: DataFrame | None, percent: int) -> DataFrame:
-    rows = members.join(points.select("class", "n", "point"), "class")
+    rows = members.join(points, "class")
     if component is None:
-        rows = rows.withColumn("component", F.col("class"))
+        rows = rows.select("tree", "class", "n", "point", F.col("class").alias("component"))
     else:
-        rows = rows.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rows = rows.select("tree", "class", "n", "point", "component").repartition(partitions(members.sparkSession), "tree").sortWithinPartitions("tree")
+        rows = rows.join(component.withColumnRenamed("node", "class"), "class", "left")
+        rows = rows.select("tree", "class", "n", "point", F.coalesce("component", "class").alias("component"), "trees")
+    rows = rows.repartition(partitions(members.sparkSession), "tree").sortWithinPartitions("tree")
     return mapped(rows, _walk(percent, component is not None), "a long, b long").distinct()
 
 
@@ -374,12 +400,15 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     points = stored(mapped(_texts_of(texts, classes, members.select("class").distinct()), _points(size), "class long, n long, point binary"), "points")
 
     pairs = stored(_tree_pairs(members, points, None, percent), "pairs-1")
-    links = stored(_verified(pairs, texts, classes, size, percent), "links-1")
+    links = _verified(pairs, texts, classes, size, percent, "links-1")
     near = stored(components(links, "join-1"), "components-1")
     labelled = members.join(near.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("tree").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high and k > 2").select("tree")
-    rest = stored(_tree_pairs(members.join(mixed, "tree", "left_semi"), points, near, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-    more = stored(_verified(rest, texts, classes, size, percent), "links-2")
+    # each class's first trees: a pair is left to the first tree that both lists hold (a list grows with its own text only)
+    lists = members.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("tree")), 1, FIRST_TREES).alias("trees"))
+    rest = stored(_tree_pairs(members.join(mixed, "tree", "left_semi"), points.join(lists, "class"), near, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    more = _verified(rest, texts, classes, size, percent, "links-2")
+    released(members, points, pairs, rest)
     joined = near.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a component as a star
     linked = components(joined.union(more), "join-2")
 

@@ -194,6 +194,26 @@ def test_op9_components(docs, texts, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_op9_pairs_of_several_trees_come_once():
+    """Trees that leave pairs to earlier trees give together what they give on their own, fewer times."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:52], rng.integers(0, 2**63, 8).astype(np.uint64)])) for _ in range(90)]
+    trees = {int(t): [k for k in range(90) if rng.random() < 0.4] for t in rng.integers(-(2**62), 2**62, 25)}
+    first = {k: sorted(t for t, m in trees.items() if k in m)[: ngram_join.FIRST_TREES] for k in range(90)}
+
+    def walk(lists: bool) -> list[tuple[int, int]]:
+        out = []
+        for t, m in trees.items():
+            earlier = [np.array([x for x in first[k] if x < t], np.int64) for k in m] if lists else None
+            tree = ngram_join.CountTree(np.array([len(sets[k]) for k in m]), [ngram_join._unpack(ngram_join._pack(ngram_join.point_of(sets[k]))) for k in m], np.array([k // 2 for k in m]), 75, earlier)
+            out += [tuple(sorted((m[i], m[j]))) for i, j in zip(*tree.across())]
+        return out
+
+    plain, dealt = walk(False), walk(True)
+    assert set(plain) == set(dealt) and len(dealt) < len(plain) / 2 and len(dealt) == len(set(dealt))
+
+
 def test_op10_windows(spark, docs, texts, empty):
     item = " ".join(texts[305].split()[100:130])
     items = spark.createDataFrame([(1, item), (2, None), (3, "nothing like it anywhere in these many texts at all"), (4, "ONE!")], "item_id long, text string")

@@ -36,7 +36,12 @@ class Tables:
 
 def fingerprints(t: Tables) -> DataFrame:
     """id, bits, words, n of every document's word fingerprint."""
-    return S.prepare(t.documents.select("doc_id", B.word_fingerprint(F.col("text")).alias("bits")), "doc_id", "bits")
+    texts = t.documents.where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if len(texts.inputFiles()) < cores:  # a table of few files would leave most cores idle
+        texts = texts.repartition(cores)
+    bits = texts.select("id", B.word_fingerprint(F.col("text")).alias("bits"))
+    return bits.select("id", "bits", B.pack(F.col("bits"), 16).alias("words"), F.size("bits").alias("n"))
 
 
 #: DuckDB: the word fingerprint of every document.

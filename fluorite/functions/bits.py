@@ -72,12 +72,14 @@ def tanimoto(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(total == 0, F.lit(empty)).otherwise(common / total)
 
 
-def packed_common(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+def packed_common(a: Column, b: Column, words: int = 16) -> Column:
+    """Shared bits of packed words; spelled out word by word, so that it compiles (lambdas over arrays don't)."""
+    parts = [F.bit_count(F.coalesce(F.get(a, F.lit(k)).bitwiseAND(F.get(b, F.lit(k))), F.lit(0).cast("long"))) for k in range(words)]
+    return sum(parts[1:], parts[0])
 
 
-def packed_tanimoto(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
-    common = packed_common(a, b)
+def packed_tanimoto(a: Column, b: Column, size_a: Column, size_b: Column, words: int = 16) -> Column:
+    common = packed_common(a, b, words)
     total = size_a + size_b - common
     return F.when(total == 0, F.lit(0.0)).otherwise(common / total)
 
@@ -106,5 +108,5 @@ def to_vector(bits: Column, size: int) -> Column:
 
 def word_fingerprint(text: Column, size: int = 1024) -> Column:
     """Bits of the words of a text: the first three hexadecimal digits of each word's MD5, modulo size."""
-    words = F.filter(F.split(F.lower(text), r"[ \n]+"), lambda w: F.length(w) > 0)
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int") % size)))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[ \n]+")), "")  # each word is hashed once
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int") % size)))

@@ -175,12 +175,12 @@ def _(s, d):
     return p.select(F.col("p_partkey").alias("member"), "p_brand").join(F.broadcast(own), "p_brand").select("p_partkey", "member")
 
 
-@query("j15_certainty", f"with {FP}, tr as (select fp.* from fp join labels on id=doc_id where quality=1 and id<200), p as (select q.id mol_id, x.id tid, len(list_intersect(q.bits,x.bits)) c, len(q.bits) na, len(x.bits) nb from fp q, tr x where q.id>=900 and q.id<>x.id), s as (select mol_id, c/(na+nb-c) v, row_number() over (partition by mol_id order by c/(na+nb-c) desc, tid) r from p) select mol_id, round(avg(v),6) certainty_score from s where r<=5 group by mol_id")
+@query("j15_certainty", f"with {FP}, tr as (select fp.* from fp join labels on id=doc_id where quality=1), p as (select q.id mol_id, x.id tid, len(list_intersect(q.bits,x.bits)) c, len(q.bits) na, len(x.bits) nb from fp q, tr x where q.id<>x.id), s as (select mol_id, c/(na+nb-c) v, row_number() over (partition by mol_id order by c/(na+nb-c) desc, tid) r from p) select mol_id, round(avg(v),6) certainty_score from s where r<=5 group by mol_id")
 def _(s, d):
     x = t(s, d)
     fp = fingerprints(x)
-    train = fp.where("id < 200").join(x.labels.where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "words", "n")
-    return S.certainty(fp.where("id >= 900"), train).withColumn("certainty_score", R(F.col("certainty_score")))
+    train = fp.join(x.labels.where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "words", "n")
+    return S.certainty(fp, train).withColumn("certainty_score", R(F.col("certainty_score")))
 
 
 # ---------------------------------------------------------------------------------------------------- aggregates

@@ -39,15 +39,27 @@ def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, pla
     """
     if plan == "auto":
         plan = "loop" if right.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else "prefix"
-    a = left.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
-    b = right.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb"))
+    a, b = _spread(left, "a"), _spread(right, "b")
+    near = (F.col("a") != F.col("b")) & (F.col("na") >= cutoff * F.col("nb")) & (F.col("nb") >= cutoff * F.col("na"))
+    score = _spread_tanimoto()
     if plan == "loop":
-        bounds = (F.col("a") != F.col("b")) & (F.col("na") >= cutoff * F.col("nb")) & (F.col("nb") >= cutoff * F.col("na"))
-        pairs = a.join(F.broadcast(b), bounds)
+        pairs = a.join(F.broadcast(b), near & (score >= cutoff))  # the whole condition compiles into the loop
     else:
-        pairs = candidates_by_prefix(left, right, cutoff).join(a, "a").join(b, "b")
-    scored = pairs.select(F.col("a").alias("mol_id1"), F.col("b").alias("mol_id2"), B.packed_tanimoto(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb")).alias("score"))
-    return scored.where(F.col("score") >= cutoff)
+        pairs = candidates_by_prefix(left, right, cutoff).join(a, "a").join(b, "b").where(score >= cutoff)
+    return pairs.select(F.col("a").alias("mol_id1"), F.col("b").alias("mol_id2"), score.alias("score"))
+
+
+def _spread(df: DataFrame, name: str, words: int = 16) -> DataFrame:
+    """id, n and one long column per packed word: a nested loop reads those from the row without touching an array."""
+    longs = [F.coalesce(F.get("words", F.lit(k)), F.lit(0).cast("long")).alias(f"{name}{k}") for k in range(words)]
+    return df.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), *longs)
+
+
+def _spread_tanimoto(words: int = 16) -> Column:
+    parts = [F.bit_count(F.col(f"a{k}").bitwiseAND(F.col(f"b{k}"))) for k in range(words)]
+    common = sum(parts[1:], parts[0])
+    total = F.col("na") + F.col("nb") - common
+    return F.when(total == 0, F.lit(0.0)).otherwise(common / total)
 
 
 def batch_similarity(batch: DataFrame, everything: DataFrame, cutoff: float = 0.85) -> DataFrame:
@@ -78,10 +90,9 @@ def substructure_screen(fps: DataFrame, query: Column, limit: int = 100, verify=
 
 def certainty(queries: DataFrame, train: DataFrame, k: int = 5, compat: bool = False) -> DataFrame:
     """Mean of the k best similarities to the training set; with compat a row may match itself."""
-    pairs = queries.select(F.col("id").alias("mol_id"), F.col("words").alias("wq"), F.col("n").alias("nq")).join(
-        F.broadcast(train) if train.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else train, F.lit(True) if compat else F.col("mol_id") != F.col("id")
-    )
-    scored = pairs.select("mol_id", F.col("id"), B.packed_tanimoto(F.col("wq"), F.col("words"), F.col("nq"), F.col("n")).alias("s"))
+    a, b = _spread(queries, "a"), _spread(train, "b")
+    pairs = a.join(F.broadcast(b) if train.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else b, F.lit(True) if compat else F.col("a") != F.col("b"))
+    scored = pairs.select(F.col("a").alias("mol_id"), F.col("b").alias("id"), _spread_tanimoto().alias("s"))
     rank = F.row_number().over(Window.partitionBy("mol_id").orderBy(F.desc("s"), "id"))
     return scored.withColumn("r", rank).where(F.col("r") <= k).groupBy("mol_id").agg(F.avg("s").alias("certainty_score"))
 

@@ -43,7 +43,8 @@ def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, pla
     near = (F.col("a") != F.col("b")) & (F.col("na") >= cutoff * F.col("nb")) & (F.col("nb") >= cutoff * F.col("na"))
     score = _spread_tanimoto()
     if plan == "loop":
-        pairs = a.join(F.broadcast(b), near & (score >= cutoff))  # the whole condition compiles into the loop
+        enough = _spread_common() >= cutoff / (1 + cutoff) * (F.col("na") + F.col("nb")) - 1e-6  # cheap and never too strict
+        pairs = a.join(F.broadcast(b), near & enough & (score >= cutoff))  # the whole condition compiles into the loop
     else:
         pairs = candidates_by_prefix(left, right, cutoff).join(a, "a").join(b, "b").where(score >= cutoff)
     return pairs.select(F.col("a").alias("mol_id1"), F.col("b").alias("mol_id2"), score.alias("score"))
@@ -55,9 +56,13 @@ def _spread(df: DataFrame, name: str, words: int = 16) -> DataFrame:
     return df.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), *longs)
 
 
-def _spread_tanimoto(words: int = 16) -> Column:
+def _spread_common(words: int = 16) -> Column:
     parts = [F.bit_count(F.col(f"a{k}").bitwiseAND(F.col(f"b{k}"))) for k in range(words)]
-    common = sum(parts[1:], parts[0])
+    return sum(parts[1:], parts[0])
+
+
+def _spread_tanimoto(words: int = 16) -> Column:
+    common = _spread_common(words)
     total = F.col("na") + F.col("nb") - common
     return F.when(total == 0, F.lit(0.0)).otherwise(common / total)
 

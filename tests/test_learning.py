@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,8 @@ from fluorite import catalogue
 from fluorite.operators import learning as L
 
 DATA = "/root/testdata/sf0.001"
+#: Minutes altogether; run with FLUORITE_SLOW=1.
+SLOW = {"Ensemble", "LibSVM", "LibSVM2", "SMO", "RacedIncrementalLogitBoost", "realAdaBoost"}
 TOY = [(i, "0", 1.0 + i, 2.0 - i) for i in range(6)] + [(10 + i, "1", 0.5 - i, 0.8 + i) for i in range(6)]
 
 
@@ -15,6 +19,8 @@ def toy(spark):
 
 @pytest.mark.parametrize("scheme", sorted(L.CLASSIFIERS))
 def test_classifiers_on_the_toy_set(spark, toy, scheme):
+    if scheme in SLOW and not os.environ.get("FLUORITE_SLOW"):
+        pytest.skip("slow")
     rows = L.CLASSIFIERS[scheme](toy, ["x", "y"]).predict(toy, ["id", "label"]).collect()
     assert len(rows) == 12 and all(abs(sum(r.distribution) - 1) < 1e-6 and r.strength == max(r.distribution) for r in rows)
     least = 6 if scheme in ("KNN", "KNN25", "Ensemble", "RacedIncrementalLogitBoost") else 10  # neighbours beyond the set size vote evenly

@@ -78,6 +78,22 @@ def test_op1_is_a_distribution():
     assert abs((10 ** tree.log10(np.arange(256, dtype=np.uint64) + context)).sum() - 1) < 1e-9
 
 
+def test_op1_tree_of_all_buckets_keeps_rare_contexts(spark):
+    """Scores equal those of one tree over all counts, and contexts far below any share of the corpus count."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["some", "words", "of", "a", "text"]) for _ in range(3000))) for i in range(400)] + [(1000 + i, "qzxj") for i in range(4)]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1003).collect()}
+    grams = []
+    for k, t in rows:
+        words = lm_scoring.Words(lm_scoring.pa.array([t]))
+        seq, scored, _ = lm_scoring.symbols(words, 5)
+        grams.append(lm_scoring.packed_grams(seq, scored, 5))
+    keys, counts = np.unique(np.concatenate(grams[:-1]), return_counts=True)
+    tree = lm_scoring.SuffixTree({d: lm_scoring.frequent(a, b, 2) for d, a, b in lm_scoring._levels(keys, counts, 5)}, 5, 4.0)
+    assert all(abs(got[k] - tree.log10(g).sum()) < 1e-6 for (k, _), g in zip(rows, grams))
+    assert sum(len(t) for _, t in rows) * 2e-6 > 3 and got[1003] > -8  # "qzxj" is learnt from three texts
+
+
 def test_op2_predictions(spark, empty):
     rng = random.Random(1)
     say = {"aa": ["ba", "ab", "aba"], "zz": ["zy", "yz", "xyz"]}

@@ -6,10 +6,11 @@ document). Each block is one binary record of a Parquet table in the shared fold
     magic "RP01" | documents, rules, symbols: int32 | doc_id: int64 each | ids per document: int32 each |
     left and right side of each rule: int32 each | expansion length of each rule: int32 each | symbols: int32 each
 
-Symbols below ``RULE`` are token ids, the others rules. A round replaces all frequent pairs that cannot overlap one
-another (no id is a left side of one and a right side of another) by new symbols, and counts again, until a round
-replaces less than ``least_gain`` of the block or ``rounds`` are done. A pair never holds an end id on its left, so no
-rule crosses a document. Expansion lengths let one document be decoded without the rest.
+Symbols below ``RULE`` are token ids, the others rules. Pairs are replaced from the most frequent down, until none occurs
+``least_count`` times without overlapping itself: a round takes the pairs with at least half the count of the most
+frequent that cannot overlap one another (no id is a left side of one and a right side of another; a pair of equal ids
+stands alone and is replaced from the left of each run), and counts again. A pair never holds an end id, or a rule that
+ends with one, on its left, so no rule crosses a document. Expansion lengths let one document be decoded without the rest.
 
 Defined cases: a null or empty text is the end id alone; a null id sorts first and stays null; an empty table gives no
 rows; rows with equal ids are written one after the other, in order of text; columns other than doc_id and text are
@@ -35,48 +36,61 @@ _HEAD = struct.Struct("<4s3i")
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def repair(ids: np.ndarray, end: int, rounds: int = 2, least_count: int = 16, most_rules: int = 2000, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(symbols: np.ndarray, closing: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and keys of the pairs that may be replaced, and the distinct ones that occur least_count times with their counts."""
+    key = symbols[:-1] << 32 | symbols[1:]
+    same = symbols[:-1] == symbols[1:]
+    usable = ~closing
+    at = np.flatnonzero(same)
+    if len(at):  # in a run of one id, every second pair from its left
+        head = np.concatenate([[True], np.diff(at) > 1])
+        begin = at[head][np.cumsum(head) - 1]
+        usable[at[(at - begin) % 2 == 1]] = False
+    # a cell of a hashed count is no smaller than the count of any pair in it, so only pairs of full cells are counted
+    cell = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    near = np.flatnonzero(usable)
+    near = near[(np.bincount(cell[near], minlength=1 << 20) >= least_count)[cell[near]]]
+    pairs, counts = np.unique(key[near], return_counts=True)
+    often = counts >= least_count
+    return near, key[near], pairs[often], counts[often]
+
+
+def repair(ids: np.ndarray, end: int, least_count: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as (left, right) rows, expansion lengths)."""
     symbols, rules = ids.astype(np.int64), []
     lengths: list[int] = []
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    closing = symbols == end  # symbols that end with an end id
+    while len(symbols) > 1:
+        near, key, pairs, counts = _pairs(symbols, closing[:-1], least_count)
+        if not len(pairs):
             break
-        key = symbols[:-1] << 32 | symbols[1:]
-        # a cell of a hashed count is no smaller than the count of any pair in it, so only pairs of full cells are counted
-        cell = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        full = np.bincount(cell, minlength=1 << 20) >= least_count
-        near = np.flatnonzero(full[cell] & (symbols[:-1] != end) & (symbols[:-1] != symbols[1:]))
-        key = key[near]
-        pairs, counts = np.unique(key, return_counts=True)
-        often = np.flatnonzero(counts >= least_count)
-        often = often[np.lexsort((pairs[often], -counts[often]))][: 4 * most_rules]
+        often = np.flatnonzero(2 * counts >= counts.max())
+        often = often[np.lexsort((pairs[often], -counts[often]))]
         role: dict[int, int] = {}
         chosen = []
         for pair in pairs[often].tolist():
             left, right = pair >> 32, pair & 0xFFFFFFFF
-            if role.get(left, 0) == 0 and role.get(right, 1) == 1:
+            if left == right:
+                if left not in role:
+                    role[left] = 2
+                    chosen.append(pair)
+            elif role.get(left, 0) == 0 and role.get(right, 1) == 1:
                 role[left], role[right] = 0, 1
                 chosen.append(pair)
-                if len(chosen) == most_rules:
-                    break
-        if not chosen:
-            break
         chosen = np.sort(np.array(chosen))
         place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
         hit = chosen[place] == key
         place, hit = place[hit], near[hit]
-        if len(hit) < least_gain * len(symbols):
-            break
         first = RULE + len(lengths)
         for left, right in zip((chosen >> 32).tolist(), (chosen & 0xFFFFFFFF).tolist()):
             rules.append((left, right))
             lengths.append(sum(lengths[s - RULE] if s >= RULE else 1 for s in (left, right)))
         symbols = symbols.copy()
         symbols[hit] = first + place
+        closing[hit] = closing[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols = symbols[keep]
+        symbols, closing = symbols[keep], closing[keep]
     return symbols.astype(np.int32), np.array(rules, np.int32).reshape(-1, 2), np.array(lengths, np.int32)
 
 

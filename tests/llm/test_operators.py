@@ -156,6 +156,26 @@ def test_op5_and_op8_tokens(docs, texts, empty):
     assert token_output.token_digest(empty).count() == packing.pack(empty).count() == 0
 
 
+def test_op5_grammars_are_complete():
+    """No pair is left that occurs twice without overlap, runs are compressed, and documents open on their own."""
+    rng = np.random.default_rng(7)
+    line = rng.integers(3, 500, 40)
+    cases = [[line] * 50, [np.full(1000, 9)], [rng.integers(3, 9, rng.integers(0, 60)) for _ in range(80)], [np.array([5, 6])] * 3, [np.zeros(0, int)] * 9]
+    for parts in cases:
+        docs = [np.append(d, 2) for d in parts]
+        ids = np.concatenate(docs).astype(np.int32)
+        block = token_output.Block(token_output.encode_block(np.arange(len(docs)), ids, np.array([len(d) for d in docs]), 2))
+        assert (block.expand(block.symbols) == ids).all() and all((block.document(k) == d).all() for k, d in enumerate(docs))
+        ends = {2} | {token_output.RULE + i for i in range(len(block.left)) if block.expand(np.array([token_output.RULE + i], np.int32))[-1] == 2}
+        found, last = Counter(), {}
+        for i, pair in enumerate(zip(block.symbols[:-1].tolist(), block.symbols[1:].tolist())):
+            if pair[0] not in ends and last.get(pair, -2) < i - 1:
+                last[pair] = i
+                found[pair] += 1
+        assert max(found.values(), default=0) < 2
+    assert len(token_output.repair(np.full(1 << 12, 9), 2)[0]) <= 2 and len(token_output.repair(np.tile(line, 64), 2)[0]) <= 40
+
+
 def test_op6_bytes(docs, texts, empty):
     raw = {k: (t or "").encode() for k, t in texts.items()}
     first = {}

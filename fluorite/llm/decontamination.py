@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 Words are runs of letters and digits, lower-cased, so punctuation and case hide nothing. A benchmark item of m words is
-compared with windows of m words of every document:
+compared with windows of m words of every document, and with the whole of a document that has fewer:
 
 * A window without any 5-word shingle of any item has similarity 0 with all, so only windows around such shingles are
   looked at; that leaves nothing out.
@@ -86,8 +86,9 @@ class Index:
                 near.setdefault(m, []).append(p)
         for m, positions in near.items():
             count = max(1, m - self.size + 1)
-            if (m < self.size and n_words != m) or len(shingles) < count:
+            if (m < self.size and n_words != m) or len(shingles) / count < least:  # too short to be that similar
                 continue
+            count = min(count, len(shingles))
             low, high = np.maximum(np.array(positions) - count + 1, 0), np.minimum(np.array(positions), len(shingles) - count)
             edges = np.zeros(len(shingles) + 1, np.int64)
             ok = low <= high

@@ -258,3 +258,13 @@ def test_op10_windows(spark, docs, texts, empty):
     assert got == {(305, 1), (900, 1), (303, 4)}
     assert {r.doc_id for r in decontamination.clean_documents(docs, items).collect()} == set(texts) - {305, 303}
     assert decontamination.contaminated(docs, items.limit(0)).count() == decontamination.contaminated(empty, items).count() == 0
+
+
+def test_op10_documents_shorter_than_an_item(spark):
+    words = [f"word{i}" for i in range(30)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    cut = {1: words[:-1], 2: words[1:], 3: words[:25], 4: words[:24], 5: words[:10], 6: words[:1] + words[2:], 7: words, 8: words[:4]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in cut.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.similarity, r.first_word) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {1: (25 / 26, 0), 2: (25 / 26, 0), 3: (21 / 26, 0), 4: (20 / 26, 0), 6: (24 / 27, 0), 7: (1.0, 0)}
+    assert {r.doc_id for r in decontamination.clean_documents(docs, items).collect()} == {5, 8}

@@ -2,7 +2,9 @@
 
 Found and permuted, each within its own format and under a key:
 
-* card numbers (13 to 19 digits that pass the Luhn check): first digit kept, check digit set anew;
+* card numbers (13 to 19 digits that pass the Luhn check): first digit kept, check digit set anew; where digits that
+  stand around a number (an expiry date, a security code) spoil the check, the first and then longest run of whole
+  groups that passes is taken, and the digits around it stay;
 * telephone numbers: the country code after ``+`` and all punctuation kept;
 * social security numbers with a valid area, group and serial, IPv4 addresses with valid octets, calendar dates from
   1900-01-01 on (73000 days): permuted as numbers in exactly that range, so results are valid again;
@@ -104,6 +106,17 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, F.concat(body, F.element_at(check, 1).cast("string")))
 
 
+def _card_within(m: Column) -> Column:
+    """first and -last: the places of the first, then longest, run of whole groups of digits in m that is a card number; or null."""
+    digit = lambda i: F.substr(m, i, F.lit(1)).between("0", "9")
+    places = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    ends = F.filter(places, lambda i: digit(i) & ((i == F.length(m)) | ~digit(i + 1)))
+    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b - a >= 12), lambda b: F.struct(a.alias("first"), (-b).alias("last")))))
+    valid = lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d)
+    return F.array_min(F.filter(runs, lambda r: valid(_digits(F.substr(m, r["first"], 1 - r["last"] - r["first"])))))
+
+
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1)  # empty without a country code
     digits = _digits(m)
@@ -179,11 +192,20 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", column: str = "text",
         name += "_"
     found = docs.withColumn(name, F.regexp_extract_all(F.col(column).cast("string"), F.lit(PATTERN), F.lit(0)))
     found = found.withColumn(name, F.transform(name, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"))))
-    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"))))
-    values = F.concat(F.transform(name, lambda x: x["value"]), F.array(F.lit("")))
+    within = lambda x: F.when(x["kind"].isNull() & x["value"].rlike(f"^(?:{CARD})$"), _card_within(x["value"]))
+    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), within(x).alias("run"))))
+    cut = lambda x, whole, part: F.when(x["run"].isNull(), whole).otherwise(part)
+    found = found.withColumn(name, F.transform(name, lambda x: F.struct(
+        cut(x, x["kind"], F.lit("card")).alias("kind"),
+        cut(x, F.lit(""), F.substr(x["value"], F.lit(1), x["run"]["first"] - 1)).alias("before"),
+        cut(x, x["value"], F.substr(x["value"], x["run"]["first"], 1 - x["run"]["last"] - x["run"]["first"])).alias("value"),
+        cut(x, F.lit(""), F.substr(x["value"], 1 - x["run"]["last"])).alias("after"),
+    )))
+    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"), x["before"].alias("before"), x["after"].alias("after"))))
+    values = F.concat(F.transform(name, lambda x: F.concat(x["before"], x["value"], x["after"])), F.array(F.lit("")))
     parts = F.split(F.col(column).cast("string"), PATTERN, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, values, lambda a, b: F.array(a, b))), "")
     changed = found.withColumn(column, F.when(F.size(name) > 0, rebuilt).otherwise(F.col(column).cast("string")))
     if report:
-        changed = changed.withColumn(report, F.coalesce(F.filter(name, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")))
+        changed = changed.withColumn(report, F.coalesce(F.transform(F.filter(name, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))), F.array().cast("array<struct<kind:string,value:string>>")))
     return changed.drop(name)

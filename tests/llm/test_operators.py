@@ -117,6 +117,18 @@ def test_op3_pseudonyms(spark, empty):
     assert pseudonyms.pseudonymise(empty).count() == 0
 
 
+def test_op3_cards_among_other_digits(spark):
+    around = {1: ("", " 12/27"), 2: ("", " 123"), 3: ("no 12 ", "."), 4: ("", " 99"), 5: ("1-", "-7 end")}
+    rows = [(k, f"{a}4111 1111 1111 1111{b}") for k, (a, b) in around.items()] + [(6, "4111 1111 1111 1112 12/27"), (7, "4111111111111111123"), (8, "378282246310005 1234")]
+    got = by_id(pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    for k, (a, b) in around.items():
+        new = got[k].pseudonyms[0].value
+        assert got[k].text == a + new + b and len(got[k].pseudonyms) == 1 and got[k].pseudonyms[0].kind == "card"
+        assert new == got[1].pseudonyms[0].value != "4111 1111 1111 1111" and WORD.findall(new.encode())[0][:1] == b"4"
+    assert [got[k].text for k in (6, 7)] == [t for k, t in rows if k in (6, 7)]
+    assert got[8].text.endswith(" 1234") and "378282246310005" not in got[8].text
+
+
 def test_op3_is_a_permutation(spark):
     n = spark.range(1000).select(pseudonyms.feistel_number(F.col("id"), 40, 25, "k", "t").alias("x")).distinct()
     assert n.count() == 1000 and n.agg(F.min("x"), F.max("x")).first() == (0, 999)

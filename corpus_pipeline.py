@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluorite.llm import decontamination, language, ngram_join, packing, pseudonyms
-from fluorite.llm.common import NULL_ID, safe_id, stored
+from fluorite.llm.common import stored
 from fluorite.llm.queries import KEY
 
 
@@ -20,10 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; of rows with equal ids, one."""
-    found = ngram_join.ngram_components(docs)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept"))
-    return docs.withColumn("__id", safe_id()).join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """One row of each component stays, one with the smallest id; unlike rows with equal or null ids are different components."""
+    return ngram_join.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

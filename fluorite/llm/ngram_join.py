@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import NULL_ID, Words, buckets_of, by_number, components, ints, mapped, mix, partitions, pieces, released, rows_of, safe_id, split_by, stored
 
@@ -380,8 +381,8 @@ def _tree_pairs(members: DataFrame, points: DataFrame, component: DataFrame | No
     return mapped(rows, _walk(percent, component is not None), "a long, b long").distinct()
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of similarity percent/100 or more."""
+def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, class) of each row, (class, first) with the smallest id of each class, and (node, component) of the classes that are linked."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(safe_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -410,8 +411,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     more = _verified(rest, texts, classes, size, percent, "links-2")
     released(members, points, pairs, rest)
     joined = near.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a component as a star
-    linked = components(joined.union(more), "join-2")
+    return narrow, classes, components(joined.union(more), "join-2")
 
+
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of similarity percent/100 or more."""
+    narrow, classes, linked = _linked(docs, size, percent)
     named = linked.withColumnRenamed("node", "class").join(classes, "class")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     of_class = stored(classes.join(named.join(least, "component").select("class", "least"), "class", "left").select("class", F.coalesce("least", "first").alias("least")), "class-components")
@@ -421,4 +426,30 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(smallest).alias("component_id"))
 
 
-__all__ = ["CountTree", "ints", "ngram_components", "point_of"]
+def _with_class(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = list(_sets(piece.column("text"), size))
+                keys = pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*piece.columns, *keys], names=[*piece.schema.names, "__class", "__n"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of docs of each component, unchanged: one with the smallest id. Rows are told apart by id and class, so equal or null ids don't matter.
+
+    Rows without words are components of their own, and all stay.
+    """
+    _, classes, linked = _linked(docs, size, percent)
+    whole = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = whole.groupBy("component").agg(F.min(F.struct("first", "class")).alias("k"))
+    kept = least.select(F.col("k.first").alias("__id"), F.col("k.class").alias("__class"), F.lit(True).alias("__kept"))
+    keyed = mapped(docs, _with_class(size), StructType([*docs.schema, StructField("__class", LongType()), StructField("__n", LongType())]))
+    keyed = keyed.withColumn("__id", safe_id()).withColumn("__class", F.when(F.col("__n") > 0, F.col("__class")).otherwise(F.monotonically_increasing_id()))
+    rows = keyed.join(kept, ["__id", "__class"], "left").where((F.col("__n") == 0) | F.col("__kept"))
+    return rows.dropDuplicates(["__id", "__class", "__n"]).select(*docs.columns)
+
+
+__all__ = ["CountTree", "ints", "ngram_components", "one_of_each", "point_of"]

@@ -262,6 +262,18 @@ def test_op9_pairs_of_several_trees_come_once():
     assert set(plain) == set(dealt) and len(dealt) < len(plain) / 2 and len(dealt) == len(set(dealt))
 
 
+def test_near_duplicates_are_decided_by_row(spark):
+    """Unlike rows with null or equal ids all stay; of near copies, also within one id, one row stays."""
+    import corpus_pipeline
+
+    make = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, make(k)) for k in range(40)] + [(5, make(100)), (5, make(101)), (5, make(102)), (3, make(100) + " more"), (7, make(101)), (9, make(102)), (9, make(102)), (11, ""), (11, ""), (None, None), (12, make(0))]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.join_near_duplicates(spark, docs, "").collect())
+    want = Counter([(None, make(k)) for k in range(40)] + [(3, make(100) + " more"), (5, make(101)), (5, make(102)), (11, ""), (11, ""), (None, None)])
+    assert got == want
+
+
 def test_op10_windows(spark, docs, texts, empty):
     item = " ".join(texts[305].split()[100:130])
     items = spark.createDataFrame([(1, item), (2, None), (3, "nothing like it anywhere in these many texts at all"), (4, "ONE!")], "item_id long, text string")

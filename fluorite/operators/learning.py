@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Training rows a neighbour search broadcasts at once; a larger training set is searched block by block.
 NEIGHBOUR_BLOCK = 20_000
-#: Rows whose neighbours rate attributes (a bounded, documented sample of ReliefF).
-RELIEF_ROWS = 200
 
 
 # ------------------------------------------------------------------------------------------------ attribute filters
@@ -72,43 +70,61 @@ def select_by_correlation(df: DataFrame, features: list[str], label: str = "labe
     return [features[i] for i in sorted(chosen)]
 
 
-def relief_weights(df: DataFrame, features: list[str], label: str = "label", key: str = "id", rows: int = RELIEF_ROWS, k: int = 10) -> dict[str, float]:
+def _nearest_by_label(x: DataFrame, features: list[str], k: int, power: int) -> DataFrame:
+    """i, own (label), v, t, away, mine, other: for each row i of x and each label v, the k nearest other rows t (distance, then i).
+
+    x has a number ``__i`` of each row, ``label`` and features without nulls. All rows meet all rows, NEIGHBOUR_BLOCK at
+    a time; each block's k best are kept before blocks meet.
+    """
+    blocks = max(1, -(-x.count() // NEIGHBOUR_BLOCK))
+
+    def against(block: pd.DataFrame):
+        values, keys = block[features].to_numpy(float), block["__i"].to_numpy()
+        groups = {v: np.flatnonzero((block["label"] == v).to_numpy()) for v in sorted(block["label"].unique())}
+
+        def best(row: np.ndarray, i: int, own: str) -> list[tuple]:
+            away = (np.abs(values - row) ** power).sum(axis=1)
+            out = []
+            for v, at in groups.items():
+                at = at[keys[at] != i]
+                if len(at) > 4 * k:
+                    at = at[away[at] <= np.partition(away[at], k - 1)[k - 1]]
+                out += [(i, own, v, keys[j], away[j], row, values[j]) for j in at[np.lexsort((keys[at], away[at]))[:k]]]
+            return out
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for start in range(0, len(whole), 500):
+                    b = whole.iloc[start : start + 500]
+                    rows = [r for row, i, own in zip(b[features].to_numpy(float), b["__i"], b["label"]) for r in best(row, i, own)]
+                    yield pd.DataFrame(rows, columns=["i", "own", "v", "t", "away", "mine", "other"])
+
+        return run
+
+    part = lambda n: x.where(F.pmod(F.xxhash64("__i"), F.lit(blocks)) == n).toPandas()
+    found = reduce(DataFrame.unionByName, (x.mapInPandas(against(part(n)), "i long, own string, v string, t long, away double, mine array<double>, other array<double>") for n in range(blocks)))
+    rank = F.row_number().over(Window.partitionBy("i", "v").orderBy("away", "t"))
+    return found if blocks == 1 else found.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+
+
+def relief_weights(df: DataFrame, features: list[str], label: str = "label", key: str = "id", k: int = 10) -> dict[str, float]:
     """ReliefF weights: how much further the nearest rows of other classes lie in a feature than those of the own class.
 
-    ``rows`` instances (smallest key hashes) are compared with all rows; every partition keeps its k nearest per instance
-    and class, and the k best of those count.
+    Every labelled row is an instance and is compared with all rows.
     """
     r = df.agg(*(f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max)))).first()
-    low = np.array([r[f"a{i}"] or 0.0 for i in range(len(features))], float)
-    span = np.array([(r[f"b{i}"] or 0.0) - low[i] or 1.0 for i in range(len(features))], float)
-    clean = df.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    sample = clean.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
+    scaled = [((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - (r[f"a{i}"] or 0.0)) / ((r[f"b{i}"] or 0.0) - (r[f"a{i}"] or 0.0) or 1.0)).alias(c) for i, c in enumerate(features)]
+    clean = df.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("__i"), F.col(label).alias("label"), *scaled).persist()  # numbered once: keys may be null
     share = {x["label"]: x["n"] for x in clean.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
-    mine = ((sample[features].to_numpy(float) - low) / span).astype("float64")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = (b[features].to_numpy(float) - low) / span
-            for i, own in enumerate(mine):
-                gaps = np.abs(x - own)
-                away = gaps.sum(axis=1)
-                away[b["id"].to_numpy() == sample["id"].iloc[i]] = np.inf
-                for v in b["label"].unique():
-                    at = np.flatnonzero((b["label"] == v).to_numpy() & np.isfinite(away))
-                    at = at[np.argsort(away[at], kind="stable")[:k]]
-                    if len(at):
-                        yield pd.DataFrame({"i": i, "v": v, "away": away[at], "gaps": list(gaps[at])})
-
-    near = clean.mapInPandas(nearest, "i int, v string, away double, gaps array<double>")
-    rank = F.row_number().over(Window.partitionBy("i", "v").orderBy("away", "gaps"))
-    top = near.withColumn("r", rank).where(F.col("r") <= k)
-    means = top.groupBy("i", "v").agg(*(F.avg(F.get("gaps", F.lit(j))).alias(f"g{j}") for j in range(len(features))))
+    gaps = F.zip_with("mine", "other", lambda a, b: F.abs(a - b))
+    near = _nearest_by_label(clean, features, k, 1).withColumn("gaps", gaps)
+    means = near.groupBy("i", "own", "v").agg(*(F.avg(F.get("gaps", F.lit(j))).alias(f"g{j}") for j in range(len(features))))
     weights = np.zeros(len(features))
-    for x in means.collect():  # at most rows * classes
-        own = sample["label"].iloc[x["i"]]
-        factor = -1.0 if x["v"] == own else share[x["v"]] / max(total - share[own], 1)
-        weights += factor * np.array([x[f"g{j}"] for j in range(len(features))]) / max(len(sample), 1)
+    for x in means.groupBy("own", "v").agg(*(F.sum(f"g{j}").alias(f"g{j}") for j in range(len(features)))).collect():  # at most classes * classes
+        factor = -1.0 if x["v"] == x["own"] else share[x["v"]] / max(total - share[x["own"]], 1)
+        weights += factor * np.array([x[f"g{j}"] for j in range(len(features))]) / max(total, 1)
+    clean.unpersist()
     return dict(zip(features, map(float, weights)))
 
 

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,24 @@ def test_balancing(spark):
     assert grown.where("id is null").where(~F.col("x").between(low, high)).count() == 0
 
 
+def test_relief_rates_every_row_against_all(spark, monkeypatch):
+    """Weights equal brute force over all rows, also where a class is rare and rows come in blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.random((260, 3))
+    label = np.array(["rare" if i % 65 == 0 else "ab"[i % 2] for i in range(260)])
+    df = spark.createDataFrame([(None if i % 50 == 0 else i, str(label[i]), *map(float, x[i])) for i in range(260)], "id long, label string, f0 double, f1 double, f2 double").repartition(3)
+    scaled, want = (x - x.min(0)) / np.ptp(x, axis=0), np.zeros(3)
+    for i in range(260):
+        gaps = np.abs(scaled - scaled[i])
+        for v in ("a", "b", "rare"):
+            at = np.flatnonzero((label == v) & (np.arange(260) != i))
+            mean = gaps[at[np.argsort(gaps[at].sum(axis=1))[:10]]].mean(axis=0)
+            want += mean / 260 * (-1 if v == label[i] else (label == v).sum() / (label != label[i]).sum())
+    for block in (20_000, 60):
+        monkeypatch.setattr(L, "NEIGHBOUR_BLOCK", block)
+        assert np.allclose(list(L.relief_weights(df, ["f0", "f1", "f2"]).values()), want)
+
+
 def test_cross_validation_covers_all_rows(toy):
     rows = L.cross_validate(toy, ["x", "y"], "NaiveBayes", folds=3, balance=False).collect()
     assert sorted(r.id for r in rows) == sorted(t[0] for t in TOY)

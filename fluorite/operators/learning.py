@@ -148,31 +148,31 @@ def spread_subsample(df: DataFrame, key: str = "id", label: str = "label", most:
 def smote(df: DataFrame, features: list[str], key: str = "id", label: str = "label", k: int = 5, percent: int = 100, seed: int = 1) -> DataFrame:
     """df and ``percent`` per cent more rows of the smallest class, each between a row and one of its k nearest of that class.
 
-    New rows have a null key. A smallest class beyond NEIGHBOUR_BLOCK rows is split by hash, and neighbours come from the part.
+    New rows have a null key. Neighbours come from the whole class, and new rows depend on the rows' keys and values only.
     """
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy("n", label).first()
     if sizes is None:
         return df
-    parts = -(-sizes["n"] // NEIGHBOUR_BLOCK)
-    small = df.where(F.col(label) == sizes[label]).select(key, label, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-
-    def grow(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(key)
-        x, made = p[features].to_numpy(float), []
-        span = np.ptp(x, axis=0)
-        span[span == 0] = 1.0
-        for i, row in enumerate(x if len(x) > 1 else []):
-            away = (((x - row) / span) ** 2).sum(axis=1)
-            away[i] = np.inf
-            near = np.argsort(away, kind="stable")[: min(k, len(x) - 1)]
-            rng = np.random.default_rng([seed, i])
-            for _ in range(percent // 100 + (rng.random() * 100 < percent % 100)):
-                made.append(row + rng.random(len(features)) * (x[rng.choice(near)] - row))
-        out = pd.DataFrame(np.array(made).reshape(-1, len(features)), columns=features)
-        return out.assign(**{label: sizes[label]})[[label, *features]]
+    small = df.where(F.col(label) == sizes[label]).select(key, F.col(label).alias("label"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
+    r = small.agg(*(f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max)))).first()
+    low, span = (np.array([r[f"a{i}"] for i in range(len(features))], float), np.array([r[f"b{i}"] - r[f"a{i}"] or 1.0 for i in range(len(features))], float))
+    scaled = [((F.col(c) - float(low[i])) / float(span[i])).alias(c) for i, c in enumerate(features)]
+    # rows of equal key and values are numbered one after the other, so that none counts as its own neighbour
+    same = F.row_number().over(Window.partitionBy("__h").orderBy("__h")) - 1
+    numbered = small.withColumn("__h", F.xxhash64(key, *features)).withColumn("__i", F.col("__h") + same).select("__i", "label", *scaled).persist()
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for i, row, near in zip(b["i"], b["mine"], b["near"]):
+                rng = np.random.default_rng([seed, i & (2**64 - 1)])
+                for _ in range(percent // 100 + (rng.random() * 100 < percent % 100)):
+                    made.append(low + span * (row + rng.random(len(features)) * (np.asarray(near[rng.integers(len(near))], float) - row)))
+            yield pd.DataFrame(np.array(made).reshape(-1, len(features)), columns=features).assign(**{label: sizes[label]})[[label, *features]]
 
     schema = f"`{label}` string, " + ", ".join(f"`{c}` double" for c in features)
-    new = small.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("__p")).applyInPandas(lambda _, p: grow(p), schema)
+    found = _nearest_by_label(numbered, features, k, 2).groupBy("i").agg(F.first("mine").alias("mine"), F.sort_array(F.collect_list(F.struct("away", "t", "other"))).alias("near"))
+    new = found.select("i", "mine", F.transform("near", lambda x: x["other"]).alias("near")).mapInPandas(grow, schema)
     return df.unionByName(new, allowMissingColumns=True)
 
 

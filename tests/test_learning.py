@@ -71,6 +71,20 @@ def test_relief_rates_every_row_against_all(spark, monkeypatch):
         assert np.allclose(list(L.relief_weights(df, ["f0", "f1", "f2"]).values()), want)
 
 
+def test_smote_is_the_same_at_every_size(spark, monkeypatch):
+    """A class beyond a block gives the rows it gives in one block, each between a row and one of its 5 nearest of all."""
+    x = np.random.default_rng(4).random((120, 2))
+    df = spark.createDataFrame([(i, "a", *map(float, r)) for i, r in enumerate(x)] + [(200 + i, "b", 0.0, 0.0) for i in range(130)], "id long, label string, x double, y double").repartition(3)
+    made = []
+    for block in (20_000, 25):
+        monkeypatch.setattr(L, "NEIGHBOUR_BLOCK", block)
+        made.append(sorted((r.x, r.y) for r in L.smote(df, ["x", "y"]).where("id is null").collect()))
+    assert len(made[0]) == 120 and np.allclose(made[0], made[1])
+    away = (((x[:, None] - x[None]) / np.ptp(x, axis=0)) ** 2).sum(axis=2)
+    boxes = [(np.minimum(x[i], x[j]) - 1e-9, np.maximum(x[i], x[j]) + 1e-9) for i in range(120) for j in np.argsort(away[i])[1:6]]
+    assert all(any((low <= p).all() and (p <= high).all() for low, high in boxes) for p in made[1])
+
+
 def test_cross_validation_covers_all_rows(toy):
     rows = L.cross_validate(toy, ["x", "y"], "NaiveBayes", folds=3, balance=False).collect()
     assert sorted(r.id for r in rows) == sorted(t[0] for t in TOY)

@@ -11,6 +11,7 @@ Two ideas carry most operators here:
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -154,15 +155,15 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of batch with at most limit bytes of text each, or with one row."""
+def pieces(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, column: str = "text", rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with at most limit bytes of text and so many rows each, or with one row."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + limit, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -173,42 +174,57 @@ def ints(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 # ------------------------------------------------------------------------------------------------------- words
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_LETTERS = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bytes that are no part of a word when punctuation is left out: ASCII that is neither letter nor digit.
 _PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Ranges longer than this are hashed one by one, so a loop over eights of bytes stays short.
+_LONG = 256
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + (1 << 17))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(n, u64(base))
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one little-endian integer (zeros beyond the end); a view of a padded copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-class Hasher:
-    """64-bit hashes of any substrings of data: [start, end) for arrays of starts and ends."""
+def first_bytes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values with all but their first ``sizes`` bytes (of 8 at most) set to zero."""
+    spare = np.clip(8 - sizes, 0, 8).astype(np.uint64) * np.uint64(8)
+    half = spare >> np.uint64(1)
+    return values << half << (spare - half) >> half >> (spare - half)
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[data] * power[: len(data)], out=self.sums[1:])
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes [start, end) of data for arrays of both.
 
-    def grams(self, k: int) -> np.ndarray:
-        """The hash of the k bytes from each position on."""
-        n = max(0, len(self.sums) - k)
-        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+    Eight bytes at a time are added to a state that is mixed in between, so it is no polynomial with a structure that some
+    texts would cancel out; long ranges are digested by BLAKE2b.
+    """
+    view = eights(data) if view is None else view
+    sizes = ends - starts
+    state = mix(sizes.astype(np.uint64) + u64(_BASE))
+    live, at = np.flatnonzero((sizes > 0) & (sizes <= _LONG)), 0
+    while len(live):
+        part = first_bytes(view[starts[live] + at], sizes[live] - at)
+        state[live] = mix((state[live] ^ part) * u64(_BASE) + u64(0xD6E8FEB86659FD93))
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return state
+
+
+def hash_grams(view: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k bytes (a multiple of 8) from each position on, for all positions with as many."""
+    n = max(0, len(view) - k)
+    mixed = mix(view.copy())
+    out = np.zeros(n, np.uint64)
+    for j in range(k // 8):
+        out += mixed[8 * j : 8 * j + n] * u64(pow(_BASE, j + 1, 2**64))
+    return out
 
 
 class Words:
@@ -230,7 +246,7 @@ class Words:
         edge = np.diff(inside.view(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.starts, self.at)  # the words of text i: first[i] to first[i+1]
-        self.hashes = Hasher(self.data)(self.starts, self.ends)
+        self.hashes = hash_ranges(self.data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.first))
@@ -259,6 +275,19 @@ class Words:
         return out, offsets
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """x as compressed planes of its bytes: sorted keys and small counts take a fraction of their 8 bytes."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(bytes(data[:8]), "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    return planes if size == 1 else np.ascontiguousarray(planes.reshape(size, n).T).view(kind)[:, 0]
+
+
 # --------------------------------------------------------------------------------------- corpus-wide merging
 class Tally:
     """Sums by 64-bit key, compacted as it grows."""

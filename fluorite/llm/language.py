@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import by_number, ints, mapped, mix, partitions, pieces, real_id, rows_of, safe_id, u64
 
 UND = "und"
+#: Texts predicted at once: a task holds so many vectors and rows of 2048 counts, however short the texts are.
+ROWS = 512
 _letters: list[np.ndarray] = []
 _PROFILE = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("vector", pa.binary())])
 
@@ -139,7 +141,7 @@ def _predict(model, dimensions: int, seed: int):
         langs, prototypes = model.value
         space = Space(dimensions, seed)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, rows=ROWS):
                 keys, owner, number = trigrams(piece.column("text"))
                 n = piece.num_rows
                 if not n:
@@ -159,7 +161,7 @@ def _predict(model, dimensions: int, seed: int):
                     score = np.where(number > 0, np.clip(cosine.max(axis=1), 0, 1), 0.0)
                 names = [langs[k] if k >= 0 else UND for k in best]
                 kept = [f for f in piece.schema.names if f != "text"]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(number)], names=[*kept, "lang_pred", "score", "letters"])
 
     return run
 
@@ -175,23 +177,26 @@ def identify(docs: DataFrame, held_out: Column | None = None, dimensions: int =
     rows = docs.select(safe_id().alias("doc_id"), F.coalesce(flag, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit_profiles(rows.where("not held_out"), dimensions, seed)
     shared = docs.sparkSession.sparkContext.broadcast(_units(model, dimensions))  # max_languages vectors at most
-    out = mapped(rows.drop("lang"), _predict(shared, dimensions, seed), "doc_id long, held_out boolean, lang_pred string, score double")
+    out = mapped(rows.drop("lang"), _predict(shared, dimensions, seed), "doc_id long, held_out boolean, lang_pred string, score double, letters long")
     return out.select(real_id(), "held_out", "lang_pred", "score")
 
 
-def _keep(predict, column: str, least: float):
+def _keep(predict, column: str, least: float, labelled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column=column):
+            for piece in pieces(batch, column=column, rows=ROWS):
                 (said,) = predict(iter([pa.RecordBatch.from_arrays([piece.column(column)], names=["text"])]))
-                good = pc.and_(pc.not_equal(said.column("lang_pred"), UND), pc.greater_equal(said.column("score"), least))
-                yield piece.filter(good)
+                good = pc.greater_equal(said.column("score"), least) if labelled else pc.greater(said.column("letters"), 0)
+                yield piece.filter(pc.and_(good, pc.greater(said.column("letters"), 0)))
 
     return run
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05, dimensions: int = 1024, seed: int = 7) -> DataFrame:
-    """The rows of docs, unchanged, whose text has letters and a cosine of least or more with its nearest prototype."""
+    """The rows of docs, unchanged, whose text has letters and a cosine of least or more with its nearest prototype.
+
+    Without a labelled row there is no prototype to be far from: all rows whose text has letters stay.
+    """
     model = fit_profiles(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2), dimensions, seed)
     shared = docs.sparkSession.sparkContext.broadcast(_units(model, dimensions))
-    return mapped(docs, _keep(_predict(shared, dimensions, seed), "text", least), docs.schema)
+    return mapped(docs, _keep(_predict(shared, dimensions, seed), "text", least, bool(model)), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tally, Words, buckets_of, by_number, ints, mapped, mix, packed_rows, partitions, pieces, real_id, routed, rows_of, split_by, stored, unpacked, with_side
+from .common import buckets_of, by_number, ints, mapped, mix, packed_rows, partitions, pieces, real_id, routed, rows_of, split_by, squeezed, stored, Tally, unpacked, unsqueezed, with_side, Words
 
 END = 10  # the end byte; also fills the context before a text's first byte
 _END_TOKEN = np.uint64(1)  # the key of the end token among word hashes
@@ -160,17 +160,6 @@ class SuffixTree:
 
 
 # ---------------------------------------------------------------------------------------- counts of the corpus
-def squeezed(x: np.ndarray) -> bytes:
-    """x as compressed planes of its bytes: sorted keys and small counts take a fraction of their 8 bytes."""
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unsqueezed(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind)[:, 0]
-
-
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
     for batch in batches:
         for p, payload in zip(batch.column("p").to_pylist(), batch.column("payload")):

@@ -62,25 +62,34 @@ class Plan:
         while changed and self.left:
             changed = False
             for j in sorted(self.left, reverse=True):
-                if not self.left.get(j):
-                    continue
-                sizes = sorted(self.left)
-                room = self.capacity - j
-                many = lambda s, j=j: self.left[s] - (s == j)  # noqa: E731  of length s besides one j
-                small = [s for s in sizes for _ in range(min(3, many(s)))][:3]
-                if not small or small[0] > room:
-                    self._fix((j,), self.left[j])
-                    changed = True
-                    continue
-                i = sizes[bisect_right(sizes, room) - 1]
-                while not many(i):
-                    i = sizes[sizes.index(i) - 1]
-                alone = len(small) < 2 or small[0] + small[1] > room
-                if i + j == self.capacity or alone or ((len(small) < 3 or sum(small) > room) and self._largest_pair(sizes, many, room) <= i):
-                    # the counts may change what is true, so at most so many as keep it true: a full sequence always does
-                    bins = self.left[j] // 2 if i == j else min(self.left[j], self.left[i])
-                    self._fix((j, i), bins if i + j == self.capacity else 1)
+                while self.left.get(j) and (bins := self._dominant(j)):
                     changed = True
+                    self._fix((j,) if bins < 0 else (j, self._beside), abs(bins))
+
+    def _dominant(self, j: int) -> int:
+        """How many sequences of j and the largest length that fits beside it (``_beside``) may be fixed at once; less than 0: of j alone; 0: none.
+
+        The condition looks at which lengths have one, two or three pieces and more. While more than four of j and of the
+        other are left, fixing one pair changes none of that, so all but four go at once and the last ones one by one: a
+        few steps for a length, however many pieces it has.
+        """
+        sizes = sorted(self.left)
+        room = self.capacity - j
+        many = lambda s: self.left[s] - (s == j)  # noqa: E731  of length s besides one j
+        small = [s for s in sizes for _ in range(min(3, many(s)))][:3]
+        if not small or small[0] > room:
+            return -self.left[j]
+        k = bisect_right(sizes, room) - 1
+        while not many(sizes[k]):
+            k -= 1
+        self._beside = i = sizes[k]
+        most = self.left[j] // 2 if i == j else min(self.left[j], self.left[i])
+        if i + j == self.capacity:  # a full sequence dominates whatever else there is
+            return most
+        alone = len(small) < 2 or small[0] + small[1] > room
+        if alone or ((len(small) < 3 or sum(small) > room) and self._largest_pair(sizes, many, room) <= i):
+            return max(1, most - 4)
+        return 0
 
     @staticmethod
     def _largest_pair(sizes: list[int], many, room: int) -> int:
@@ -144,7 +153,7 @@ def _cut(path: str, end: int, capacity: int):
         encode = encoder(path).encode
         for batch in batches:
             for part in pieces(batch):
-                ids, at = encode(part.column("text").to_pylist(), end)
+                ids, at = encode(part.column("text"), end)
                 out: list[tuple] = []
                 for doc, first, last in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     for k, start in enumerate(range(first, last, capacity)):

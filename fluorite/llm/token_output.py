@@ -7,10 +7,11 @@ document). Each block is one binary record of a Parquet table in the shared fold
     left and right side of each rule: int32 each | expansion length of each rule: int32 each | symbols: int32 each
 
 Symbols below ``RULE`` are token ids, the others rules. Pairs are replaced from the most frequent down, until none occurs
-``least_count`` times without overlapping itself: a round takes the pairs with at least half the count of the most
-frequent that cannot overlap one another (no id is a left side of one and a right side of another; a pair of equal ids
-stands alone and is replaced from the left of each run), and counts again. A pair never holds an end id, or a rule that
-ends with one, on its left, so no rule crosses a document. Expansion lengths let one document be decoded without the rest.
+``least_count`` times without overlapping itself: a round takes the pairs with at least a sixth (``share``) of the count of
+the most frequent, and where two overlap, the more frequent one; a pair that keeps less than half of what the round asks
+for waits. A pair of equal ids is replaced from the left of each run. Then only the places whose pair may have gained
+(beside a replaced one) or occurs twice are counted again. A pair never holds an end id, or a rule that ends with one, on
+its left, so no rule crosses a document. Expansion lengths let one document be decoded without the rest.
 
 Defined cases: a null or empty text is the end id alone; a null id sorts first and stays null; an empty table gives no
 rows; rows with equal ids are written one after the other, in order of text; columns other than doc_id and text are
@@ -36,62 +37,98 @@ _HEAD = struct.Struct("<4s3i")
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def _pairs(symbols: np.ndarray, closing: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places and keys of the pairs that may be replaced, and the distinct ones that occur least_count times with their counts."""
-    key = symbols[:-1] << 32 | symbols[1:]
-    same = symbols[:-1] == symbols[1:]
-    usable = ~closing
-    at = np.flatnonzero(same)
-    if len(at):  # in a run of one id, every second pair from its left
-        head = np.concatenate([[True], np.diff(at) > 1])
-        begin = at[head][np.cumsum(head) - 1]
-        usable[at[(at - begin) % 2 == 1]] = False
-    # a cell of a hashed count is no smaller than the count of any pair in it, so only pairs of full cells are counted
-    cell = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    near = np.flatnonzero(usable)
-    near = near[(np.bincount(cell[near], minlength=1 << 20) >= least_count)[cell[near]]]
-    pairs, counts = np.unique(key[near], return_counts=True)
-    often = counts >= least_count
-    return near, key[near], pairs[often], counts[often]
-
-
-def repair(ids: np.ndarray, end: int, least_count: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _heads(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs of equal ids, and which of them are every second of their run from its left."""
+    same = np.flatnonzero(symbols[:-1] == symbols[1:])
+    head = np.concatenate([np.ones(min(1, len(same)), bool), np.diff(same) > 1])
+    begin = same[head][np.cumsum(head) - 1]
+    return same, (same - begin) % 2 == 0
+
+
+def _grouped(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, with their places, each key's from the left."""
+    place = int(at[-1]).bit_length() if len(at) else 1
+    if bits + place <= 64:  # one sort of integers that hold both
+        both = np.sort(key << np.uint64(place) | at.astype(np.uint64))
+        return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], at[order]
+
+
+def _apart(places: np.ndarray, ranks: np.ndarray, n: int, turns: int) -> np.ndarray:
+    """Which of the pairs at places are taken: of two that overlap the one of better rank, in a few turns."""
+    best = np.full(n + 2, 1 << 30, np.int32)  # best[i + 1]: the rank of the pair at i, if it may be taken
+    best[places + 1] = ranks
+    left, taken = np.arange(len(places)), []
+    for _ in range(turns):
+        p = places[left]
+        rank = best[p + 1]
+        win = (rank < best[p]) & (rank < best[p + 2])
+        taken.append(left[win])
+        p = p[win]
+        best[p] = best[p + 1] = best[p + 2] = 1 << 30
+        left = left[~win]
+        left = left[best[places[left] + 1] < 1 << 30]
+        if not len(left):
+            break
+    return np.concatenate(taken)
+
+
+def repair(ids: np.ndarray, end: int, least_count: int = 2, share: int = 6, turns: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as (left, right) rows, expansion lengths)."""
-    symbols, rules = ids.astype(np.int64), []
-    lengths: list[int] = []
+    first = int(ids.max(initial=end)) + 1  # rules are numbered from here on meanwhile
+    width = (first + len(ids) // 2).bit_length()
+    symbols = ids.astype(np.uint32)
     closing = symbols == end  # symbols that end with an end id
+    open_ = np.ones(len(symbols), bool)  # places whose pair may occur again; a pair that doesn't now never will
+    lefts, rights, rules = [], [], 0
     while len(symbols) > 1:
-        near, key, pairs, counts = _pairs(symbols, closing[:-1], least_count)
-        if not len(pairs):
+        usable = open_[:-1] & ~closing[:-1]
+        same, head = _heads(symbols)
+        usable[same] = head & ~closing[same]
+        at = np.flatnonzero(usable)
+        key, where = _grouped(symbols[at].astype(np.uint64) << np.uint64(width) | symbols[at + 1], at, 2 * width)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        counts = np.diff(edge)
+        most = int(counts.max(initial=0))
+        if most < least_count:
             break
-        often = np.flatnonzero(2 * counts >= counts.max())
-        often = often[np.lexsort((pairs[often], -counts[often]))]
-        role: dict[int, int] = {}
-        chosen = []
-        for pair in pairs[often].tolist():
-            left, right = pair >> 32, pair & 0xFFFFFFFF
-            if left == right:
-                if left not in role:
-                    role[left] = 2
-                    chosen.append(pair)
-            elif role.get(left, 0) == 0 and role.get(right, 1) == 1:
-                role[left], role[right] = 0, 1
-                chosen.append(pair)
-        chosen = np.sort(np.array(chosen))
-        place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[place] == key
-        place, hit = place[hit], near[hit]
-        first = RULE + len(lengths)
-        for left, right in zip((chosen >> 32).tolist(), (chosen & 0xFFFFFFFF).tolist()):
-            rules.append((left, right))
-            lengths.append(sum(lengths[s - RULE] if s >= RULE else 1 for s in (left, right)))
-        symbols = symbols.copy()
-        symbols[hit] = first + place
+        open_[where[edge[:-1][counts < 2]]] = False
+        least = max(least_count, -(-most // share))
+        often = np.flatnonzero(counts >= least)
+        number, begin = counts[often], edge[often]
+        rank = np.empty(len(often), np.int32)
+        rank[np.argsort(-number, kind="stable")] = np.arange(len(often))
+        pair = np.repeat(np.arange(len(often), dtype=np.int32), number)
+        places = where[np.arange(len(pair)) + np.repeat(begin - (np.cumsum(number) - number), number)]
+        taken = _apart(places, rank[pair], len(symbols), turns)
+        good = np.bincount(pair[taken], minlength=len(often)) >= max(least_count, least // 2)
+        taken = taken[good[pair[taken]]]
+        hit = places[taken]
+        lefts.append(key[begin[good]] >> np.uint64(width))
+        rights.append(key[begin[good]] & np.uint64((1 << width) - 1))
+        symbols[hit] = (np.cumsum(good) - 1 + first + rules).astype(np.uint32)[pair[taken]]
+        rules += int(good.sum())
         closing[hit] = closing[hit + 1]
+        open_[hit] = open_[np.maximum(hit - 1, 0)] = True
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, closing = symbols[keep], closing[keep]
-    return symbols.astype(np.int32), np.array(rules, np.int32).reshape(-1, 2), np.array(lengths, np.int32)
+        symbols, closing, open_ = symbols[keep], closing[keep], open_[keep]
+    out = [x.astype(np.int64) for x in (symbols, np.concatenate(lefts or [symbols[:0]]), np.concatenate(rights or [symbols[:0]]))]
+    symbols, left, right = (np.where(x >= first, x - first + RULE, x).astype(np.int32) for x in out)
+    return symbols, np.stack([left, right], axis=1), _lengths(left, right)
+
+
+def _lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of ids each rule stands for; a rule's sides come before it."""
+    lengths = np.zeros(len(left), np.int32)
+    todo = np.arange(len(left))
+    while len(todo):
+        sides = [np.where(x[todo] >= RULE, lengths[np.maximum(x[todo] - RULE, 0)], 1) for x in (left, right)]
+        known = (sides[0] > 0) & (sides[1] > 0)
+        lengths[todo[known]] = (sides[0] + sides[1])[known]
+        todo = todo[~known]
+    return lengths
 
 
 def encode_block(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, end: int) -> bytes:
@@ -120,16 +157,35 @@ class Block:
         self.symbols = take(symbols, "<i4")
         self.starts = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
 
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules in a row, and where each one's begin."""
+        if not hasattr(self, "rule_ids"):
+            symbols = np.arange(RULE, RULE + len(self.left), dtype=np.int32)
+            while (inner := symbols >= RULE).any():
+                ends = np.cumsum(np.where(inner, 2, 1))
+                rule = symbols[inner] - RULE
+                out = np.empty(ends[-1], np.int32)
+                out[ends[inner] - 2], out[ends[inner] - 1] = self.left[rule], self.right[rule]
+                out[ends[~inner] - 1] = symbols[~inner]
+                symbols = out
+            self.rule_ids, self.rule_starts = symbols, np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        return self.rule_ids, self.rule_starts
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(symbols) and (inner := symbols >= RULE).any():
-            sizes = np.where(inner, 2, 1)
-            ends = np.cumsum(sizes)
-            out = np.empty(ends[-1], np.int32)
-            rule = symbols[inner] - RULE
-            out[ends[inner] - 2], out[ends[inner] - 1] = self.left[rule], self.right[rule]
-            out[ends[~inner] - 1] = symbols[~inner]
-            symbols = out
-        return symbols
+        rule = np.flatnonzero(symbols >= RULE)
+        if not len(rule):
+            return symbols
+        ids, starts = self._flat()
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[rule] = self.lengths[symbols[rule] - RULE]
+        ends = np.cumsum(sizes)
+        out = np.empty(ends[-1], np.int32)
+        plain = np.flatnonzero(symbols < RULE)
+        out[ends[plain] - 1] = symbols[plain]
+        shift = ends[rule] - sizes[rule]
+        inner = np.arange(sizes[rule].sum()) - np.repeat(np.cumsum(sizes[rule]) - sizes[rule], sizes[rule])
+        out[np.repeat(shift, sizes[rule]) + inner] = ids[np.repeat(starts[symbols[rule] - RULE], sizes[rule]) + inner]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document; only its own symbols are expanded."""
@@ -157,7 +213,7 @@ def _write(path: str, end: int, block_tokens: int):
 
         for batch in batches:
             for piece in pieces(batch, block_tokens):
-                ids, at = encode(piece.column("text").to_pylist(), end)
+                ids, at = encode(piece.column("text"), end)
                 held.append((piece.column("doc_id").to_numpy(), ids, np.diff(at)))
                 size += len(ids)
                 if size >= block_tokens:

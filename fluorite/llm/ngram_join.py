@@ -207,8 +207,8 @@ PICKED = 1_000_000
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
-    """Counts of shingles per group; more groups (a power of two) for larger sets, some three shingles in each."""
-    groups = min(2048, max(32, 1 << (len(s) // 4).bit_length()))
+    """Counts of shingles per group; more groups (a power of two) for larger sets, one or two shingles in each."""
+    groups = min(2048, max(32, 1 << (len(s) // 2).bit_length()))
     return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 

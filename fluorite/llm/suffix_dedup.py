@@ -53,12 +53,12 @@ def _pack(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = int(mix(np.array([TaskContext.get().partitionId()], np.uint64))[0] >> np.uint64(33))  # rows go round all p from here
         for batch in batches:
             for piece in pieces(batch, _CHUNK):
                 raw, at = bytes_of(piece.column("text"))
                 digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                p = int(mix(np.array([number], np.uint64))[0] >> np.uint64(32)) % n
+                p = number % n
                 yield rows_of(_TEXTS, [(p, ints(piece, "doc_id").astype(np.int64).tobytes(), np.diff(at).tobytes(), b"".join(digests), squeezed(raw))])
                 number += 1
 

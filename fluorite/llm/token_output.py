@@ -7,7 +7,7 @@ document). Each block is one binary record of a Parquet table in the shared fold
     left and right side of each rule: int32 each | expansion length of each rule: int32 each | symbols: int32 each
 
 Symbols below ``RULE`` are token ids, the others rules. Pairs are replaced from the most frequent down, until none occurs
-``least_count`` times without overlapping itself: a round takes the pairs with at least a sixth (``share``) of the count of
+``least_count`` times without overlapping itself: a round takes the pairs with at least an eighth (``share``) of the count of
 the most frequent, and where two overlap, the more frequent one; a pair that keeps less than half of what the round asks
 for waits. A pair of equal ids is replaced from the left of each run. Then only the places whose pair may have gained
 (beside a replaced one) or occurs twice are counted again. A pair never holds an end id, or a rule that ends with one, on
@@ -37,12 +37,11 @@ _HEAD = struct.Struct("<4s3i")
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def _heads(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of pairs of equal ids, and which of them are every second of their run from its left."""
-    same = np.flatnonzero(symbols[:-1] == symbols[1:])
-    head = np.concatenate([np.ones(min(1, len(same)), bool), np.diff(same) > 1])
-    begin = same[head][np.cumsum(head) - 1]
-    return same, (same - begin) % 2 == 0
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """Of places of pairs of equal ids, whether each is the first, third and so on of its run from the left."""
+    head = np.concatenate([np.ones(min(1, len(at)), bool), np.diff(at) > 1])
+    begin = at[head][np.cumsum(head) - 1]
+    return (at - begin) % 2 == 0
 
 
 def _grouped(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,20 +73,25 @@ def _apart(places: np.ndarray, ranks: np.ndarray, n: int, turns: int) -> np.ndar
     return np.concatenate(taken)
 
 
-def repair(ids: np.ndarray, end: int, least_count: int = 2, share: int = 6, turns: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, end: int, least_count: int = 2, share: int = 8, turns: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as (left, right) rows, expansion lengths)."""
     first = int(ids.max(initial=end)) + 1  # rules are numbered from here on meanwhile
     width = (first + len(ids) // 2).bit_length()
     symbols = ids.astype(np.uint32)
-    closing = symbols == end  # symbols that end with an end id
-    open_ = np.ones(len(symbols), bool)  # places whose pair may occur again; a pair that doesn't now never will
+    closing = np.zeros(first + len(ids) // 2, bool)  # symbols that end with an end id
+    closing[end] = True
+    open_ = symbols != end  # places whose pair may be replaced; a pair that occurs once will never occur twice
     lefts, rights, rules = [], [], 0
     while len(symbols) > 1:
-        usable = open_[:-1] & ~closing[:-1]
-        same, head = _heads(symbols)
-        usable[same] = head & ~closing[same]
-        at = np.flatnonzero(usable)
-        key, where = _grouped(symbols[at].astype(np.uint64) << np.uint64(width) | symbols[at + 1], at, 2 * width)
+        at = np.flatnonzero(open_[:-1])
+        left, right = symbols[at], symbols[at + 1]
+        same = np.flatnonzero(left == right)
+        if len(same) and not (second := _every_second(at[same])).all():
+            keep = np.ones(len(at), bool)
+            keep[same[~second]] = False
+            at, left, right = at[keep], left[keep], right[keep]
+        key = left.astype(np.uint64) << np.uint64(width) | right
+        key, where = _grouped(key, at, 2 * width)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         counts = np.diff(edge)
         most = int(counts.max(initial=0))
@@ -107,13 +111,16 @@ def repair(ids: np.ndarray, end: int, least_count: int = 2, share: int = 6, turn
         hit = places[taken]
         lefts.append(key[begin[good]] >> np.uint64(width))
         rights.append(key[begin[good]] & np.uint64((1 << width) - 1))
-        symbols[hit] = (np.cumsum(good) - 1 + first + rules).astype(np.uint32)[pair[taken]]
-        rules += int(good.sum())
-        closing[hit] = closing[hit + 1]
-        open_[hit] = open_[np.maximum(hit - 1, 0)] = True
+        new = first + rules + np.arange(int(good.sum()))
+        closing[new] = closing[rights[-1].astype(np.int64)]
+        rules += len(new)
+        symbols[hit] = new[(np.cumsum(good) - 1)[pair[taken]]]
+        for place in (hit, np.maximum(hit - 1, 0)):
+            open_[place] = ~closing[symbols[place]]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, closing, open_ = symbols[keep], closing[keep], open_[keep]
+        keep = np.flatnonzero(keep)
+        symbols, open_ = symbols[keep], open_[keep]
     out = [x.astype(np.int64) for x in (symbols, np.concatenate(lefts or [symbols[:0]]), np.concatenate(rights or [symbols[:0]]))]
     symbols, left, right = (np.where(x >= first, x - first + RULE, x).astype(np.int32) for x in out)
     return symbols, np.stack([left, right], axis=1), _lengths(left, right)

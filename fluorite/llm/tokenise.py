@@ -55,6 +55,10 @@ class Encoder:
         with open(path) as f:
             description = json.load(f)
         self.lower = description["normalizer"] is not None
+        #: bytes of each id: a letter of the alphabet of bytes stands for one
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(piece.removesuffix("</w>"))
         self.added = [t["content"].encode() for t in description["added_tokens"]]
         if any(len(a) < 8 or any(x >= 128 for x in a) for a in self.added):
             raise ValueError("added tokens are looked for by their first eight bytes")
@@ -153,14 +157,17 @@ class Encoder:
         """Encode new pre-tokens: words a thousand to a text, which splits into exactly them, all others on their own."""
         plain = np.array([p.isalpha() if self.lower else p[0] == " " and p[1:].isalpha() for p in new], bool)
         words, others = [p for p, x in zip(new, plain) if x], [p for p, x in zip(new, plain) if not x]
-        joined = [(" " if self.lower else "").join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        groups = [words[k : k + 1000] for k in range(0, len(words), 1000)]
+        joined = self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(g) for g in groups], add_special_tokens=False)
         flats, sizes = [self.flat], [np.zeros(0, np.int64)]
-        for k, e in enumerate(self.tokenizer.encode_batch(joined, add_special_tokens=False)):
-            count = np.bincount(np.array(e.word_ids))
-            if len(count) != len(words[1000 * k : 1000 * k + 1000]):
+        for group, e in zip(groups, joined):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(np.array([len(w.encode()) for w in group]))  # in bytes, where ids end, too
+            at = np.searchsorted(covered := np.cumsum(self.bytes[ids]), ends)
+            if covered[-1] != ends[-1] or (covered[at] != ends).any():
                 raise ValueError("words were split anew")
-            flats.append(np.array(e.ids, np.uint32))
-            sizes.append(count)
+            flats.append(ids)
+            sizes.append(np.diff(at, prepend=-1))
         for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False):
             flats.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(e.ids)]))

@@ -205,21 +205,56 @@ def test_op6_bytes(docs, texts, empty):
     assert suffix_dedup.repeat_digest(empty).count() == 0
 
 
+def linked_vectors(rows):
+    """(vec_id, n_links, component_id, kept) of (vec_id, vector, label) rows by all pairs; a null id is the smallest."""
+    usable = [v is not None and label is not None and any(v) and all(x is not None and math.isfinite(x) for x in v) for _, v, label in rows]
+    parent, number = list(range(len(rows))), [0] * len(rows)
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if usable[i] and usable[j] and a[2] == b[2] and len(a[1]) == len(b[1]):
+                u, v = np.array(a[1]), np.array(b[1])
+                if u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.98:
+                    number[i], number[j], parent[root(i)] = number[i] + 1, number[j] + 1, root(j)
+    key = lambda k: -(2**63) if rows[k][0] is None else rows[k][0]
+    least = {}
+    for k in range(len(rows)):
+        least[root(k)] = min(least.get(root(k), key(k)), key(k))
+    out = [(rows[k][0], number[k], least[root(k)]) for k in range(len(rows))]
+    return Counter((i, n, None if c == -(2**63) else c, (-(2**63) if i is None else i) == c) for i, n, c in out)
+
+
 def test_op7_links(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
     x = [base[i % 30] + rng.standard_normal(16) * 0.09 for i in range(150)]
-    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(200 + i, x[0].tolist(), 0) for i in range(5)] + [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, x[1].tolist(), None), (304, [1.0, 2.0], 1)]
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [r for r in rows if r[0] < 300]
-    links = {r[0]: set() for r in rows}
-    for a in good:
-        for b in good:
-            u, v = np.array(a[1]), np.array(b[1])
-            if a[0] != b[0] and a[2] == b[2] and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.98:
-                links[a[0]].add(b[0])
-    assert sum(map(len, links.values())) > 50
-    assert {k: r.n_links for k, r in got.items()} == {k: len(v) for k, v in links.items()}
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(200 + i, x[0].tolist(), 0) for i in range(5)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, x[1].tolist(), None), (304, [1.0, 2.0], 1), (305, [1.0, None], 1), (306, [2.0, 4.0], 1)]
+    rows += [(7, x[5].tolist(), 2), (7, (-x[5]).tolist(), 2), (7, (-x[5]).tolist(), 2), (None, x[30].tolist(), 0), (None, base[3].tolist(), 0)]
+    docs = spark.createDataFrame([(*r, 1, "v") for r in rows], "vec_id long, embedding array<double>, label int, component long, vector string").repartition(3)
+    got = Counter(tuple(r) for r in embedding_dedup.near_vectors(docs).collect())
+    assert got == linked_vectors(rows) and sum(k[1] for k in got) > 100
+    assert embedding_dedup.near_vectors(docs.limit(0)).count() == 0
+
+
+def test_op7_repeated_ids_do_not_share_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.0, 1.0, 0.01], 0)]
+    got = Counter(tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == Counter([(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)])
+
+
+def test_op7_forest_spans_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((50, 30), (200, 190), (300, 900), (40, 0)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        parent = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i.tolist(), j.tolist()):
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert embedding_dedup.forest(n, i, j).tolist() == parent
 
 
 def test_op9_components(docs, texts, empty):

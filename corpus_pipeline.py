@@ -2,6 +2,9 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage as Parquet in the shared
 folder and reads it again as the next one's documents. All but the last return the columns of documents.
+
+Defined cases: null, empty and letterless texts go in the first stage; rows with null or equal ids are told apart by their
+texts; extra columns travel along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from fluorite.llm.queries import KEY
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or near no language prototype, go."""
+    """Documents without letters, or near no language prototype, go; without labelled documents only the former."""
     return language.keep_identified(docs)
 
 
@@ -30,9 +33,9 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pseudonymise_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its personal numbers, dates and addresses replaced; n_chars follows the text."""
+    """Every document stays, with its personal numbers, dates and addresses replaced; n_chars follows the text, unless that is null."""
     out = pseudonyms.pseudonymise(docs, KEY, report=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokenizers, models and component search are beyond SQL; tests/llm holds the stages against brute force.
+#: Tokenizers, models and component search are beyond SQL; tests/llm/test_contracts.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 

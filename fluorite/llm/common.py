@@ -11,6 +11,7 @@ Two ideas carry most operators here:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: Stands for a null document id while rows travel; turned back into null in results.
 NULL_ID = -(2**63)
 #: Bytes of text parsed at once in a Python worker; bounds its temporary arrays (a longer document is one piece).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------------------------------------- scratch tables
@@ -327,8 +328,23 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
+def _give_back() -> None:
+    """Return what a worker has freed to the system: workers live on, and two tasks' peaks need not add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------------------------------------- components

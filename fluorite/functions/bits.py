@@ -40,8 +40,24 @@ def to_bytes(bits: Column, size: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(size // 8 - 1), F.lit(0), F.lit(-1)), lambda k: F.lpad(F.hex(byte(k)), 2, "0")), "")
 
 
+def from_bytes(text: Column) -> Column:
+    """Big-endian bytes, as a hexadecimal string, to bits: the lowest bit of the last byte is bit 0."""
+    digits = F.reverse(F.split(text, ""))
+    value = lambda c: F.conv(c, 16, 10).cast("int")
+    marks = F.transform(digits, lambda c, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(F.call_function("shiftright", value(c), k).bitwiseAND(F.lit(1)) == 1, i * 4 + k)), lambda b: b.isNotNull()))
+    return F.flatten(marks)
+
+
+def tanimoto_or_zero(a: Column, b: Column) -> Column:
+    """Tanimoto of two sets as text; 0 where either can't be read."""
+    read = lambda x: F.when(x.rlike(r"^\s*\{\s*([0-9]+\s*(,\s*[0-9]+\s*)*)?\}\s*$"), parse(x))
+    return F.coalesce(tanimoto(read(a), read(b)), F.lit(0.0))
+
+
 def pack(bits: Column, words: int = 16) -> Column:
-    """On-bits below 64 * words to that many longs."""
+    """On-bits to so many longs; a bit of 64 * words or more raises."""
+    fits = F.coalesce(F.array_max(bits), F.lit(0)) < 64 * words
+    bits = F.when(fits | bits.isNull(), bits).otherwise(F.raise_error(F.lit(f"a bit does not fit {words} words")).cast("array<int>"))
     return F.transform(
         F.sequence(F.lit(0), F.lit(words - 1)),
         lambda k: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))),

@@ -23,8 +23,46 @@ def certainty_bucket(value: Column) -> Column:
 
 
 def decimal_text(value: Column) -> Column:
-    """At most eight decimals, no trailing zeros."""
-    return F.format_number(value, "#.########")
+    """At most eight decimals (half to even), no trailing zeros, a zero before the point."""
+    return F.regexp_replace(F.bround(value.cast("double"), 8).cast("decimal(38,8)").cast("string"), r"\.?0+$", "")
+
+
+def number_text(value: Column, places: int = 3) -> Column:
+    """Rounded, with commas between thousands."""
+    return F.format_number(value, places)
+
+
+def percent_text(value: Column) -> Column:
+    """One decimal of a hundredfold, half up."""
+    return F.format_string("%.1f", value * 100)
+
+
+def descriptor_name(name: Column) -> Column:
+    """A column name of a descriptor: ``-`` and ``.`` become ``_``, and a name TPSA becomes TopoPSA."""
+    plain = F.translate(name, "-.", "__")
+    return F.when(plain.startswith("TPSA"), F.concat(F.lit("TopoPSA"), F.substring(plain, 5, 1 << 30))).otherwise(plain)
+
+
+def with_breaks(text: Column) -> Column:
+    """A line break tag before each line's end."""
+    return F.regexp_replace(text, r"(\r\n|\n\r|\n|\r)", "<br />$1")
+
+
+def job_stamp(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd_HH-mm-ss")
+
+
+def report_line(mol_id: Column, name: Column, main: Column, rest: Column) -> Column:
+    """A line of a prediction report: padded key, padded class with a star, distribution."""
+    return F.concat(pad_right(mol_id.cast("string"), 15), pad_right(name, 27), main, F.lit("\t"), rest)
+
+
+#: The forms of names, addresses and labels that a job request may have.
+INPUT_FORMS = {"username": r"^[A-Za-z0-9_.@-]+$", "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "class_tag": r"^[A-Za-z0-9_]+$", "data_type": r"^[A-Za-z0-9]+$", "class_scheme": r"^[A-Za-z0-9]+$"}
+
+
+def valid_input(kind: str, value: Column) -> Column:
+    return F.coalesce(value.rlike(INPUT_FORMS[kind]), F.lit(False))
 
 
 def pad_right(text: Column, width: int) -> Column:

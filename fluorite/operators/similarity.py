@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import bits as B
 
 #: Rows up to which a size-bounded nested loop over a broadcast table is cheaper than an index (16 words a row).
 LOOP_ROWS = 50_000
+#: Words of 64 bits that hold the 1100 extended and the 5110 Klekota-Roth bits.
+WIDTHS = {"ext": 18, "kr": 80}
 
 
 def prepare(df: DataFrame, key: str, bits: str, words: int = 16) -> DataFrame:
@@ -31,19 +35,20 @@ def candidates_by_prefix(left: DataFrame, right: DataFrame, cutoff: float) -> Da
     return a.join(b, "bit").where(near).select("a", "b").distinct()
 
 
-def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, plan: str = "auto") -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, plan: str = "auto", words: int = 16) -> DataFrame:
     """mol_id1, mol_id2, score for pairs of different ids with score >= cutoff, both directions.
 
     Plans: ``loop`` compares packed words in a size-bounded nested loop over a broadcast right side; ``prefix`` joins
-    prefix bits and verifies. ``auto`` counts the right side and loops only while it is small.
+    prefix bits and verifies. ``auto`` counts the right side (a job at planning time) and loops only while it is small; pass
+    a plan to save that. Both give the same pairs. words is the width both sides were packed with.
     """
     if plan == "auto":
         plan = "loop" if right.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else "prefix"
-    a, b = _spread(left, "a"), _spread(right, "b")
+    a, b = _spread(left, "a", words), _spread(right, "b", words)
     near = (F.col("a") != F.col("b")) & (F.col("na") >= cutoff * F.col("nb")) & (F.col("nb") >= cutoff * F.col("na"))
-    score = _spread_tanimoto()
+    score = _spread_tanimoto(words)
     if plan == "loop":
-        enough = _spread_common() >= cutoff / (1 + cutoff) * (F.col("na") + F.col("nb")) - 1e-6  # cheap and never too strict
+        enough = _spread_common(words) >= cutoff / (1 + cutoff) * (F.col("na") + F.col("nb")) - 1e-6  # cheap and never too strict
         pairs = a.join(F.broadcast(b), near & enough & (score >= cutoff))  # the whole condition compiles into the loop
     else:
         pairs = candidates_by_prefix(left, right, cutoff).join(a, "a").join(b, "b").where(score >= cutoff)
@@ -73,7 +78,7 @@ def batch_similarity(batch: DataFrame, everything: DataFrame, cutoff: float = 0.
     Both tables have id, ext and kr (bits); a null on either side of a pair leaves it out.
     """
     both = [t.where("ext is not null and kr is not null") for t in (batch, everything)]
-    found = [similarity_join(prepare(both[0], "id", c), prepare(both[1], "id", c), cutoff).select("mol_id1", "mol_id2") for c in ("ext", "kr")]
+    found = [similarity_join(prepare(both[0], "id", c, w), prepare(both[1], "id", c, w), cutoff, words=w).select("mol_id1", "mol_id2") for c, w in WIDTHS.items()]
     pairs = found[0].union(found[1]).distinct()
     a, b = (t.select(F.col("id").alias(i), F.col("ext").alias(f"ext{k}"), F.col("kr").alias(f"kr{k}")) for t, i, k in ((both[0], "mol_id1", 1), (both[1], "mol_id2", 2)))
     scored = pairs.join(a, "mol_id1").join(b, "mol_id2").select("mol_id1", "mol_id2", B.tanimoto(F.col("ext1"), F.col("ext2")).alias("ext"), B.tanimoto(F.col("kr1"), F.col("kr2")).alias("kr"))
@@ -96,10 +101,15 @@ def substructure_screen(fps: DataFrame, query: Column, limit: int = 100, verify=
 def certainty(queries: DataFrame, train: DataFrame, k: int = 5, compat: bool = False) -> DataFrame:
     """Mean of the k best similarities to the training set; with compat a row may match itself."""
     a, b = _spread(queries, "a"), _spread(train, "b")
-    pairs = a.join(F.broadcast(b) if train.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else b, F.lit(True) if compat else F.col("a") != F.col("b"))
-    scored = pairs.select(F.col("a").alias("mol_id"), F.col("b").alias("id"), _spread_tanimoto().alias("s"))
     rank = F.row_number().over(Window.partitionBy("mol_id").orderBy(F.desc("s"), "id"))
-    return scored.withColumn("r", rank).where(F.col("r") <= k).groupBy("mol_id").agg(F.avg("s").alias("certainty_score"))
+    blocks, best = -(-train.count() // LOOP_ROWS) or 1, []
+    for i in range(blocks):  # a broadcast block at a time; of each, only a query's k best go on
+        part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i)
+        pairs = a.join(F.broadcast(part), F.lit(True) if compat else F.col("a") != F.col("b"))
+        scored = pairs.select(F.col("a").alias("mol_id"), F.col("b").alias("id"), _spread_tanimoto().alias("s"))
+        best.append(scored.withColumn("r", rank).where(F.col("r") <= k))
+    merged = best[0] if blocks == 1 else reduce(DataFrame.unionByName, best).withColumn("r", rank).where(F.col("r") <= k)
+    return merged.groupBy("mol_id").agg(F.avg("s").alias("certainty_score"))
 
 
 def squared_distance(columns: list[str], query: dict[str, int]) -> Column:

@@ -12,25 +12,37 @@ def next_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def assign_keys(records: DataFrame, order: str, first: int, key: str = "mol_id") -> DataFrame:
-    """Keys first, first+1, ... by record order: per-partition counts of a range partitioning, then local numbers.
+    """Keys first, first+1, ... by a numeric record order: counts of the parts between fixed bounds, then local numbers.
 
-    The parts are written down by the caller's checkpoint where records aren't stable between runs.
+    The bounds (quantiles of the order) are literals of the plan, so both branches cut the rows alike however they run.
     """
-    ranged = records.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(records.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    cut = records.withColumn("__part", part)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    offsets = cut.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("__n", local).join(F.broadcast(offsets), "__part").withColumn(key, F.col("__before") + F.col("__n") + (first - 1)).drop("__part", "__n", "__before")
+    return cut.withColumn("__n", local).join(F.broadcast(offsets), "__part").withColumn(key, F.col("__before") + F.col("__n") + (first - 1)).drop("__part", "__n", "__before")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+def _one_of(new: DataFrame, keys: list[str], order: str | None, last: bool) -> DataFrame:
+    """One row of each key: the first or last in order, any if none is given."""
+    if order is None:
+        return new.dropDuplicates(keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order)))
+    return new.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows win."""
-    return old.unionByName(new.join(old, keys, "left_anti"))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows win, the last in order among those of one key; order must not be a column of the table."""
+    fresh = _one_of(new, keys, order, True)
+    return old.join(fresh, keys, "left_anti").unionByName(fresh.select(*old.columns))
+
+
+def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Old rows win, then the first in order."""
+    return old.unionByName(_one_of(new, keys, order, False).join(old, keys, "left_anti").select(*old.columns))
 
 
 def update_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -60,10 +72,13 @@ def pending_pairs(left: DataFrame, right: DataFrame, existing: DataFrame, keys:
     return left.crossJoin(right).join(existing, keys, "left_anti")
 
 
-def unique_names(df: DataFrame, name: str = "name", key: str = "mol_id") -> DataFrame:
-    """Later rows of a name get _<key> appended."""
+def unique_names(df: DataFrame, name: str = "name", key: str = "mol_id", taken: DataFrame | None = None) -> DataFrame:
+    """Later rows of a name, and all rows of one that ``taken`` holds, get _<key> appended."""
     later = F.row_number().over(Window.partitionBy(name).orderBy(key)) > 1
-    return df.withColumn("__later", later).withColumn(name, F.when(F.col("__later"), F.concat(name, F.lit("_"), F.col(key).cast("string"))).otherwise(F.col(name))).drop("__later")
+    if taken is not None:
+        df = df.join(taken.select(F.col(name)).distinct().withColumn("__taken", F.lit(True)), name, "left").select(*df.columns, "__taken")
+        later, df = later | F.coalesce("__taken", F.lit(False)), df
+    return df.withColumn("__later", later).drop("__taken").withColumn(name, F.when(F.col("__later"), F.concat(name, F.lit("_"), F.col(key).cast("string"))).otherwise(F.col(name))).drop("__later")
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -78,3 +93,32 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 def missing_from(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows still to compute: restartable work lists."""
     return work.join(done, key, "left_anti")
+
+
+def rekey(predictions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Predictions with the pred_id of mapping (old_id, pred_id) where there is one."""
+    new = mapping.select(F.col("old_id").alias("pred_id"), F.col("pred_id").alias("__new"))
+    return predictions.join(new, "pred_id", "left").withColumn("pred_id", F.coalesce("__new", "pred_id")).select(*predictions.columns)
+
+
+def number_rows(df: DataFrame, order: str, name: str) -> DataFrame:
+    """A column of 1, 2, ... in order."""
+    return assign_keys(df, order, 1, name)
+
+
+def ordered_columns(df: DataFrame) -> list[tuple[str, str]]:
+    """Names and types in order of the schema."""
+    return [(f.name, f.dataType.simpleString()) for f in df.schema]
+
+
+def check_mapping(columns: list[tuple[str, str]], mapping: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
+    """(column, fault) of a tag mapping: ``duplicate`` names (in any case), or a ``type`` other than the stored column's."""
+    stored, seen, out = {n.lower(): k.lower() for n, k in columns}, set(), []
+    for _, column, kind in mapping:
+        name = column.lower()
+        if name in seen:
+            out.append((column, "duplicate"))
+        seen.add(name)
+        if stored.get(name, kind.lower()) != kind.lower():
+            out.append((column, "type"))
+    return out

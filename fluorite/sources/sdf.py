@@ -11,10 +11,21 @@ _TAG = r"(?m)^>[^\n<]*<([^>\n]+)>[^\n]*\n((?:(?!>|\$\$\$\$)[^\n]*[^\s][^\n]*(?:\
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """record (text without the terminator) of each non-blank record; \r\n and padded terminators are normalised."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
-    parts = F.split(F.regexp_replace("v", r"(?m)^[ \t]*\$\$\$\$[ \t]*$", "\\$\\$\\$\\$"), r"\$\$\$\$\n?")
-    return lines.select(F.posexplode(parts).alias("record_no", "record")).where(F.trim(F.regexp_replace("record", r"\s", "")) != "")
+    """record_no (ascending in file order, with gaps), record (text without the terminator) of each non-blank record.
+
+    Files are split at line ends followed by ``$$$$``, so a large file is read by many tasks; indented terminators are
+    looked for within what that leaves. Line ends become ``\\n``; a line that only begins with ``$$$$`` ends a record, too.
+    """
+    chunks = spark.read.option("lineSep", "\n$$$$").text(path).select(F.monotonically_increasing_id().alias("chunk"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
+    rest = F.when(F.col("v").rlike(r"^[ \t]*\n"), F.regexp_replace("v", r"^[ \t]*\n", "")).otherwise(F.col("v"))  # of the terminator's line
+    parts = F.split(rest, r"(?m)^[ \t]*\$\$\$\$[ \t]*(?:\n|\z)")
+    rows = chunks.select("chunk", F.posexplode(parts).alias("i", "record"))
+    return rows.select((F.col("chunk") * 1024 + F.col("i")).alias("record_no"), "record").where(F.trim(F.regexp_replace("record", r"\s", "")) != "")
+
+
+def append_tag(record: Column, name: str, value: Column) -> Column:
+    """The record with one more tag at its end."""
+    return F.concat(F.regexp_replace(record, r"\s+$", ""), F.lit(f"\n\n>  <{name}>\n"), value, F.lit("\n"))
 
 
 def tags(record: Column) -> Column:
@@ -45,8 +56,8 @@ def coordinates_valid(block: Column) -> Column:
     return F.size(at_origin) <= 1
 
 
-def infer_tags(records: DataFrame, most: int | None = 10_000) -> DataFrame:
-    """tag, n, width, type and declared column of each tag, over the first ``most`` records; types widen int < float < string."""
+def infer_tags(records: DataFrame, most: int | None = None) -> DataFrame:
+    """tag, n, width, type and declared column of each tag, over all records, or the first ``most`` ones; types widen int < float < string."""
     rows = records if most is None else records.orderBy("record_no").limit(most)
     values = rows.select(F.explode(tags(F.col("record"))).alias("tag", "value"))
     rank = F.create_map(*(F.lit(x) for kv in (("int", 1), ("float", 2), ("string", 3)) for x in kv))

@@ -1,6 +1,6 @@
 """Registered queries of the engine and their SQL twins."""
 
-from . import core, extra, named, science  # noqa: F401
+from . import core, extra, molecules, named, science  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -76,7 +76,8 @@ SQL = {
  select doc_id, size::bigint size, text_crc32::bigint text_crc32, 'bytes' law, shard, (row_number() over (partition by shard order by doc_id, text_crc32, size) - 1)::bigint slot, null::int grown_shard from q""",
     "op6_interval_expansion": """with d as (select doc_id, octet_length(encode(coalesce(text, ''))) n, hex(encode(coalesce(text, ''))) h from documents),
  w as (select doc_id, unnest(range(n - 49)) i, h from d where n >= 50),
- g as (select doc_id, i, min(doc_id) over (partition by substr(h, 2 * i + 1, 100)) f from w),
+ x as (select doc_id, i, substr(h, 2 * i + 1, 100) x from w), m as (select x, min(doc_id) f from x group by x having min(doc_id) < max(doc_id)),
+ g as (select doc_id, i, f from x join m using (x)),
  z as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) step from g where f < doc_id),
  r as (select *, sum(case when step is null or step > 50 then 1 else 0 end) over (partition by doc_id order by i) k from z),
  s as (select doc_id, k, min(i) a, max(i) + 50 b from r group by all),

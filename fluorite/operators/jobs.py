@@ -1,4 +1,4 @@
-"""Job control: a job table with states and progress, a file-driven queue, time budgets, and the order of an import."""
+"""Job control: a job table with states and progress, time budgets, and the order of an import."""
 
 from __future__ import annotations
 
@@ -91,9 +91,3 @@ def within(budget: float, f: Callable[[str], object], key: str, text: str, out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_arrays([pa.array([], t.type) for t in schema], schema=schema)
 
     return run
-
-
-def watch_queue(spark: SparkSession, path: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """A stream over a folder of queued specifications: what is there is handled in batches, once each, then it ends."""
-    stream = spark.readStream.schema(schema).json(path)
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

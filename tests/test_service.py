@@ -10,6 +10,7 @@ from fluorite.functions import bits as B
 from fluorite.functions import scalars as X
 from fluorite.operators import api, chemistry, features, jobs, learning, similarity, store
 from fluorite.sources import sdf
+from fluorite.streaming import queue
 
 SMILES = ["CCO", "CC(=O)Oc1ccccc1C(=O)O", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "[Na+].[Cl-]", "C[C@H](N)C(=O)O", "c1ccc(cc1)-c1ccccc1", "[O-][N+](=O)c1ccc2[nH]ccc2c1", "C1CC2CCC1C2", "FC(F)(F)c1ccc(Cl)cc1Br", "OC%12CCCCC%12", "C/C=C/C", "N#Cc1ccncc1"]
 
@@ -151,7 +152,7 @@ def test_queue_is_handled_once(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (2, "y")], "model_id int, class_tag string").write.json(str(tmp_path / "queue"))
     seen = []
     for _ in range(2):
-        jobs.watch_queue(spark, str(tmp_path / "queue"), "model_id int, class_tag string", lambda df, n: seen.extend(r.model_id for r in df.collect()), str(tmp_path / "at")).awaitTermination()
+        queue.watch_queue(spark, str(tmp_path / "queue"), "model_id int, class_tag string", lambda df, n: seen.extend(r.model_id for r in df.collect()), str(tmp_path / "at")).awaitTermination()
     assert sorted(seen) == [1, 2]
 
 

@@ -15,7 +15,7 @@ part of the tree. Contexts below STEM bytes (limited by the alphabet, not by the
 a bit for each that must stay for a longer one in any bucket. A bucket's probabilities travel back only to the partitions
 that hold the pair, as the baseline's global word counts do.
 
-Defined cases: null text counts as empty (one end token); a null id is scored and counts as id -2^63 in the split; an
+Defined cases: null text counts as empty (one end token); a null id is scored and never held out, so it trains; an
 empty table gives no rows; repeated rows are scored and counted each; columns other than doc_id and text are ignored;
 without training texts the tree is the uniform distribution and the baseline has N = V = 0.
 """

@@ -2,9 +2,10 @@
 
 Found and permuted, each within its own format and under a key:
 
-* card numbers (13 to 19 digits that pass the Luhn check): first digit kept, check digit set anew; where digits that
-  stand around a number (an expiry date, a security code) spoil the check, the first and then longest run of whole
-  groups that passes is taken, and the digits around it stay;
+* card numbers (13 to 19 digits that pass the Luhn check): first digit kept, check digit set anew. A chain of digit groups
+  with single spaces or hyphens between them is searched whole, from left to right: the first and then longest run of
+  whole groups that passes is a card number, unless one grouped as cards are begins within an oddly grouped one; the next
+  one is looked for behind it, and the other groups (an order number, an expiry date, a security code) stay. A chain ends before an address, date or telephone number that starts in it;
 * telephone numbers: the country code after ``+`` and all punctuation kept;
 * social security numbers with a valid area, group and serial, IPv4 addresses with valid octets, calendar dates from
   1900-01-01 on (73000 days): permuted as numbers in exactly that range, so results are valid again;
@@ -27,9 +28,12 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SSN, DATE, IP, PHONE, CARD))
+_GROUPED_CARD = r"(?:[0-9]{4}[ -]){3}[0-9]{1,4}(?![0-9]|[ -][0-9]{4})|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}|[0-9]{13}"
+PHONE = rf"\+[0-9]{{1,3}}(?:[ .-]?(?!{_GROUPED_CARD})\(?[0-9]{{2,4}}\)?){{2,5}}(?![0-9])|(?<![0-9])\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])"
+_OTHERS = "|".join(f"(?:{p})" for p in (EMAIL, SSN, DATE, IP, PHONE))
+CHAIN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9](?:[0-9]|[ -](?!{_OTHERS})[0-9])*+"
+_USUAL_CARD = "^(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,4}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+PATTERN = f"{_OTHERS}|(?:{CHAIN})"
 ROUNDS = 8
 _DAYS = (365, 200)  # 73000 days from 1900-01-01
 
@@ -106,15 +110,50 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, F.concat(body, F.element_at(check, 1).cast("string")))
 
 
-def _card_within(m: Column) -> Column:
-    """first and -last: the places of the first, then longest, run of whole groups of digits in m that is a card number; or null."""
-    digit = lambda i: F.substr(m, i, F.lit(1)).between("0", "9")
-    places = F.sequence(F.lit(1), F.length(m))
-    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
-    ends = F.filter(places, lambda i: digit(i) & ((i == F.length(m)) | ~digit(i + 1)))
-    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b - a >= 12), lambda b: F.struct(a.alias("first"), (-b).alias("last")))))
+def _bound(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _card_runs(chars: Column) -> Column:
+    """first and last places of the runs of whole groups of digits that are card numbers, from left to right, longer ones first.
+
+    A run in which one grouped as cards are begins later is left out.
+    """
+    n = F.size(chars)
+    digit = lambda i: F.element_at(chars, i).between("0", "9")
+    within = lambda i: F.when((i < 1) | (i > n), F.lit(False)).otherwise(digit(F.greatest(F.lit(1), F.least(i, n))))
+    begins = lambda i: digit(i) & ~within(i - 1) & (i + 12 <= n)
+    ends = lambda a: F.filter(F.sequence(F.least(a + 36, n), a + 12, F.lit(-1)), lambda b: digit(b) & ~within(b + 1))
+    text = lambda a, b: F.array_join(F.slice(chars, a, b - a + 1), "")
     valid = lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d)
-    return F.array_min(F.filter(runs, lambda r: valid(_digits(F.substr(m, r["first"], 1 - r["last"] - r["first"])))))
+    usual = lambda a: F.when(begins(a), F.exists(ends(a), lambda b: text(a, b).rlike(_USUAL_CARD) & valid(_digits(text(a, b))))).otherwise(F.lit(False))
+
+    def clear(starts: Column) -> Column:
+        runs = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), n), begins), lambda a: F.transform(ends(a), lambda b: F.struct(a.alias("first"), b.alias("last")))))
+        hides = lambda r: F.exists(F.slice(starts, r["first"] + 1, r["last"] - r["first"]), lambda x: x) & ~text(r["first"], r["last"]).rlike(_USUAL_CARD)
+        return F.filter(F.filter(runs, lambda r: valid(_digits(text(r["first"], r["last"])))), lambda r: ~hides(r))
+
+    return _bound(F.transform(F.sequence(F.lit(1), n), usual), clear)
+
+
+def _chain_parts(m: Column) -> Column:
+    """kind and value of the parts of a chain: its card numbers, and with a null kind what stands before, between and after them."""
+
+    def parts(chars: Column) -> Column:
+        text = lambda a, b: F.array_join(F.slice(chars, a, F.greatest(b - a + 1, F.lit(0))), "")
+        part = lambda kind, a, b: F.struct(F.lit(kind).cast("string").alias("kind"), text(a, b).alias("value"))
+        none = F.array().cast("array<struct<kind:string,value:string>>")
+        start = F.struct(F.lit(1).alias("next"), none.alias("out"))
+
+        def step(so_far: Column, r: Column) -> Column:
+            more = F.concat(so_far["out"], F.array(part(None, so_far["next"], r["first"] - 1), part("card", r["first"], r["last"])))
+            taken = F.struct((r["last"] + 1).alias("next"), more.alias("out"))
+            return F.when(r["first"] >= so_far["next"], taken).otherwise(so_far)
+
+        return F.aggregate(_card_runs(chars), start, step, lambda x: F.concat(x["out"], F.array(part(None, x["next"], F.size(chars)))))
+
+    return _bound(F.filter(F.split(m, ""), lambda c: c != ""), parts)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -159,7 +198,7 @@ def _date(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """email, ssn, date, ip, phone, card, or null for a match that isn't valid."""
+    """email, ssn, date, ip, phone, or null for a match that isn't valid or is a chain of digit groups."""
     digits = _digits(m)
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
@@ -168,7 +207,6 @@ def kind_of(m: Column) -> Column:
         .when(whole(DATE), F.when(_day(m).isNotNull(), "date"))
         .when(whole(IP), F.when(F.forall(_octets(m), lambda x: x <= 255), "ip"))
         .when(whole(PHONE), F.when(F.length(digits).between(8, 15), "phone"))
-        .when(whole(CARD), F.when(F.call_function("luhn_check", digits), "card"))
     )
 
 
@@ -192,20 +230,13 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", column: str = "text",
         name += "_"
     found = docs.withColumn(name, F.regexp_extract_all(F.col(column).cast("string"), F.lit(PATTERN), F.lit(0)))
     found = found.withColumn(name, F.transform(name, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"))))
-    within = lambda x: F.when(x["kind"].isNull() & x["value"].rlike(f"^(?:{CARD})$"), _card_within(x["value"]))
-    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), within(x).alias("run"))))
-    cut = lambda x, whole, part: F.when(x["run"].isNull(), whole).otherwise(part)
-    found = found.withColumn(name, F.transform(name, lambda x: F.struct(
-        cut(x, x["kind"], F.lit("card")).alias("kind"),
-        cut(x, F.lit(""), F.substr(x["value"], F.lit(1), x["run"]["first"] - 1)).alias("before"),
-        cut(x, x["value"], F.substr(x["value"], x["run"]["first"], 1 - x["run"]["last"] - x["run"]["first"])).alias("value"),
-        cut(x, F.lit(""), F.substr(x["value"], 1 - x["run"]["last"])).alias("after"),
-    )))
-    found = found.withColumn(name, F.transform(name, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"), x["before"].alias("before"), x["after"].alias("after"))))
-    values = F.concat(F.transform(name, lambda x: F.concat(x["before"], x["value"], x["after"])), F.array(F.lit("")))
+    chain = lambda x: x["kind"].isNull() & x["value"].rlike("^[0-9][0-9 -]*$") & (F.length(_digits(x["value"])) >= 13)
+    found = found.withColumn(name, F.transform(name, lambda x: F.when(chain(x), _chain_parts(x["value"])).otherwise(F.array(x))))
+    found = found.withColumn(name, F.transform(name, lambda match: F.transform(match, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value")))))
+    values = F.concat(F.transform(name, lambda match: F.array_join(F.transform(match, lambda x: x["value"]), "")), F.array(F.lit("")))
     parts = F.split(F.col(column).cast("string"), PATTERN, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, values, lambda a, b: F.array(a, b))), "")
     changed = found.withColumn(column, F.when(F.size(name) > 0, rebuilt).otherwise(F.col(column).cast("string")))
     if report:
-        changed = changed.withColumn(report, F.coalesce(F.transform(F.filter(name, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))), F.array().cast("array<struct<kind:string,value:string>>")))
+        changed = changed.withColumn(report, F.coalesce(F.transform(F.filter(F.flatten(name), lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))), F.array().cast("array<struct<kind:string,value:string>>")))
     return changed.drop(name)

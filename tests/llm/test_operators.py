@@ -129,6 +129,50 @@ def test_op3_cards_among_other_digits(spark):
     assert got[8].text.endswith(" 1234") and "378282246310005" not in got[8].text
 
 
+def test_op3_finds_every_value_in_chains_of_digits(spark):
+    card = "4111 1111 1111 1111"
+    rows = {
+        1: f"order 1234 {card} ok", 2: f"12345 {card} 123 {card}", 3: f"{card} 2024-02-29", 4: f"{card} 02/28/2024", 5: f"{card} 415 555 2671",
+        6: f"{card} 12345@a.example.com", 7: f"+1 415 555 2671 {card}", 8: f"{card} 70.23.22.57", 9: " ".join(["12"] * 20000) + f" {card}", 10: f"555 2024-02-29 2024-02-28",
+    }
+    got = by_id(pseudonyms.pseudonymise(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), "k"))
+    kinds = {k: [x.kind for x in r.pseudonyms] for k, r in got.items()}
+    assert all("1111 1111" not in r.text for r in got.values())
+    assert kinds[1] == ["card"] and kinds[2] == ["card"] * 2 and kinds[3] == kinds[4] == ["card", "date"] and kinds[10] == ["date"] * 2
+    assert kinds[5] == ["card", "phone"] and kinds[6] == ["card", "email"] and kinds[7] == ["phone", "card"] and kinds[8] == ["card", "ip"] and kinds[9][-1] == "card"
+    assert got[1].text.startswith("order 1234 4") and got[2].text.startswith("12345 4") and got[6].text.endswith("@a.example.com")
+
+
+def test_op3_cards_against_brute_force(spark):
+    """In random chains of digit groups, the first and then longest runs of whole groups that pass change, and nothing else."""
+
+    def luhn(digits):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+    USUAL = [[n] for n in range(13, 20)] + [[4, 4, 4, n] for n in (1, 2, 3, 4)] + [[4, 4, 4, m, n] for m in (1, 2, 3, 4) for n in (1, 2, 3)] + [[4, 6, n] for n in (4, 5)]
+    rng = random.Random(9)
+    texts = {i: "".join(rng.choice(" -") * (j > 0) + "".join(rng.choices("0123456789", k=rng.choice([1, 2, 4, 4, 4, 5, 6, 16]))) for j in range(rng.randint(1, 14))) for i in range(300)}
+    texts = {i: t for i, t in texts.items() if not re.search(f"{pseudonyms.SSN}|{pseudonyms.DATE}|{pseudonyms.PHONE}".replace("*+", "*"), t)}
+    got, n = by_id(pseudonyms.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "k")), 0
+    for k, t in texts.items():
+        groups, spans, i = [(m.start(), m.end()) for m in re.finditer("[0-9]+", t)], [], 0
+        runs = {a: [b for b in reversed(range(a, len(groups))) if 13 <= sum(y - x for x, y in groups[a : b + 1]) <= 19 and luhn("".join(t[x:y] for x, y in groups[a : b + 1]))] for a in range(len(groups))}
+        usual = lambda a, b: [y - x for x, y in groups[a : b + 1]] in USUAL  # noqa: B023, E731
+        while i < len(groups):
+            hides = lambda b: not usual(i, b) and any(usual(c, d) for c in range(i + 1, b + 1) for d in runs[c])  # noqa: B023, E731
+            j = next((b for b in runs[i] if not hides(b)), None)
+            if j is not None:
+                spans.append((groups[i][0], groups[j][1]))
+            i = i + 1 if j is None else j + 1
+        values, at = [x.value for x in got[k].pseudonyms], 0
+        assert len(values) == len(spans)
+        for (a, b), v in zip(spans, values):
+            assert got[k].text[at:a] == t[at:a] and got[k].text[a:b] == v and luhn(re.sub("[^0-9]", "", v)) and v[0] == t[a] and [c.isdigit() for c in v] == [c.isdigit() for c in t[a:b]]
+            at, n = b, n + 1
+        assert got[k].text[at:] == t[at:]
+    assert n > 50
+
+
 def test_op3_is_a_permutation(spark):
     n = spark.range(1000).select(pseudonyms.feistel_number(F.col("id"), 40, 25, "k", "t").alias("x")).distinct()
     assert n.count() == 1000 and n.agg(F.min("x"), F.max("x")).first() == (0, 999)

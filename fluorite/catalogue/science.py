@@ -105,6 +105,27 @@ def _(s, d):
     return L.CLASSIFIERS["KNN25"](x, FEATURES).predict(x, ["id", "label"]).select("id", "label", "predicted", F.round("strength", 6).alias("strength"))
 
 
+HNB = f"""{FT}, u as (select id, label, unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) f, unnest([{every(str)}]) x from ft),
+ cuts as (select distinct f, unnest(quantile_disc(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) c from u group by f),
+ b as (select u.id, u.label, u.f, count(*) filter (cuts.c < u.x) b from u join cuts using (f) group by all),
+ sz as (select f, count(*)+1 s from cuts group by f), nc as (select label, count(*) n from ft group by label),
+ c1 as (select f, b, label, count(*) n from b group by all),
+ c2 as (select p.f f, p.b b, q.f g, q.b d, p.label label, count(*) n from b p join b q on p.id=q.id and p.f<>q.f group by all),
+ mi as (select c2.f, c2.g, greatest(sum(c2.n/(select count(*) from ft)*ln(c2.n*nc.n/(x.n*y.n))),0) w from c2 join nc on nc.label=c2.label join c1 x on x.f=c2.f and x.b=c2.b and x.label=c2.label join c1 y on y.f=c2.g and y.b=c2.d and y.label=c2.label group by all),
+ w as (select f, g, w/sum(w) over (partition by f) w from mi),
+ pr as (select p.id, p.label truth, p.f, nc.label, sum(w.w*(coalesce(c2.n,0)+1.0/sz.s)/(coalesce(y.n,0)+1)) v from b p join b q on p.id=q.id and p.f<>q.f cross join nc join w on w.f=p.f and w.g=q.f join sz on sz.f=p.f
+  left join c2 on c2.f=p.f and c2.b=p.b and c2.g=q.f and c2.d=q.b and c2.label=nc.label left join c1 y on y.f=q.f and y.b=q.b and y.label=nc.label group by all),
+ lp as (select id, truth, pr.label, sum(ln(v)) + ln((any_value(nc.n)+1.0/(select count(*) from nc))/((select count(*) from ft)+1)) v from pr join nc on nc.label=pr.label group by id, truth, pr.label),
+ pk as (select *, row_number() over (partition by id order by v desc, label) r, max(v) over (partition by id) mx from lp)
+ select id, truth as label, max(case when r=1 then label end) predicted, round(1/sum(exp(v-mx)),4) strength from pk group by id, truth"""
+
+
+@query("m33_hidden_bayes", "with " + HNB)
+def _(s, d):
+    x = labelled(s, d)
+    return L.hidden_bayes(x, FEATURES).predict(x, ["id", "label"]).select("id", "label", "predicted", F.round("strength", 4).alias("strength"))
+
+
 def _register(name, scheme):
     @query(name)
     def _(s, d):
@@ -114,5 +135,7 @@ def _register(name, scheme):
 
 for _name, _scheme in {
     "m20_random_forest": "RandomForest", "m21_lmt": "LMT", "m25_knn": "KNN", "m26_j48": "J48", "m28_logitboost": "LogitBoost", "m32_nbtree": "NBTree",
+    "m22_libsvm": "LibSVM", "m23_libsvm2": "LibSVM2", "m24_smo": "SMO", "m27_real_adaboost": "realAdaBoost", "m29_raced_logitboost": "RacedIncrementalLogitBoost", "m30_ensemble": "Ensemble",
+    "m34_decision_table_bayes": "DecisionTreeNaiveBayes",
 }.items():
     _register(_name, _scheme)

@@ -349,6 +349,144 @@ def naive_bayes(df: DataFrame, features: list[str]) -> Model:
     return Model(names, lambda d: d.withColumn("distribution", _softmax(_bayes_from(rows, names, features))))
 
 
+#: Numbers a model of pairs of values may hold; more must be reduced by attribute selection first.
+PAIR_CELLS = 10_000_000
+
+
+def _value(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def decile_cuts(df: DataFrame, features: list[str], bins: int = 10) -> list[list[float]]:
+    """The distinct inner quantiles of each feature over all rows; a value's bin is the number of cuts below it."""
+    at = [i / bins for i in range(1, bins)]
+    r = df.agg(*(F.percentile_approx(_value(c), at, 1_000_000).alias(f"c{i}") for i, c in enumerate(features))).first()
+    return [sorted(set(r[f"c{i}"] or [])) for i in range(len(features))]
+
+
+def _bins(features: list[str], cuts: list[list[float]]) -> list[Column]:
+    return [reduce(lambda a, b: a + b, ((_value(c) > x).cast("int") for x in own), F.lit(0)) for c, own in zip(features, cuts)]
+
+
+def _place(names: list[str]) -> Column:
+    return (F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1).cast("int")
+
+
+def hidden_bayes(df: DataFrame, features: list[str]) -> Model:
+    """Naive Bayes with a hidden parent per attribute: the other attributes' mixture, weighted by conditional mutual information.
+
+    One pass counts pairs of binned values by class, as products of indicator matrices per task; cells, not rows, are shuffled.
+    Smoothing adds one row, spread evenly. A single attribute has no parents and is used as in naive Bayes.
+    """
+    names, clean = classes(df), df.where(F.col("label").isNotNull())
+    cuts = decile_cuts(clean, features)
+    sizes = np.array([len(c) + 1 for c in cuts])
+    first, width, k = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), int(sizes.sum()), len(names)
+    if k * width * width > PAIR_CELLS:
+        raise ValueError(f"{k} classes and {width} values make more than {PAIR_CELLS} cells: select attributes first")
+    at = F.array(*(b + int(o) for b, o in zip(_bins(features, cuts), first)))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros((k, width, width), np.int64)
+        for batch in batches:
+            if len(batch):
+                places, y = np.stack(batch["at"]), batch["y"].to_numpy()
+                shown = np.zeros((len(batch), width))
+                np.put_along_axis(shown, places, 1, axis=1)
+                for c in range(k):
+                    cells[c] += np.rint(shown[y == c].T @ shown[y == c]).astype(np.int64)
+        y, u, v = np.nonzero(cells)
+        yield pd.DataFrame({"y": y, "u": u, "v": v, "n": cells[y, u, v]})
+
+    found = clean.select(at.alias("at"), _place(names).alias("y")).mapInPandas(counted, "y int, u int, v int, n long").groupBy("y", "u", "v").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros((k, width, width))
+    cells[found["y"], found["u"], found["v"]] = found["n"]
+    of = np.repeat(np.arange(len(features)), sizes)
+    alone = np.stack([np.diag(c) for c in cells])
+    rows = alone[:, of == 0].sum(axis=1)
+    total = rows.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(cells > 0, cells / total * np.log(cells * rows[:, None, None] / (alone[:, :, None] * alone[:, None, :])), 0.0).sum(axis=0)
+    weight = np.add.reduceat(np.add.reduceat(gain, first, axis=0), first, axis=1)
+    np.fill_diagonal(weight, 0.0)
+    weight = np.maximum(weight, 0.0)
+    others = np.ones_like(weight) - np.eye(len(features))
+    weight = np.where(weight.sum(axis=1, keepdims=True) > 1e-12, weight, others)
+    weight = weight / np.maximum(weight.sum(axis=1, keepdims=True), 1e-300)
+    mixed = weight[of][:, of] * (cells + 1 / sizes[of][:, None]) / (alone[:, None, :] + 1)
+    if len(features) == 1:
+        mixed = np.stack([np.diag((a + 1 / width) / (n + 1)) for a, n in zip(alone, rows)])
+    prior = np.log((rows + 1 / max(k, 1)) / (total + 1))
+
+    @F.pandas_udf("array<double>")
+    def distribution(places: pd.Series) -> pd.Series:
+        x = np.stack(places) if len(places) else np.zeros((0, len(features)), int)
+        logs = np.tile(prior, (len(x), 1))
+        for i in range(len(features)):
+            logs += np.log(mixed[:, x[:, [i]], x].sum(axis=2)).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return pd.Series(list(p / p.sum(axis=1, keepdims=True)))
+
+    return Model(names, lambda d: d.withColumn("distribution", distribution(at)))
+
+
+def decision_table_bayes(df: DataFrame, features: list[str]) -> Model:
+    """A decision table over some attributes times naive Bayes over others, on binned values.
+
+    All attributes start in the table. Each step moves one to naive Bayes or drops it, whichever gives the most correct
+    rows with each row left out of its own counts, as long as that is no worse; one job rates all choices of a step. Smoothing
+    adds one row to each class. The table stays a DataFrame; scoring joins it by its values, and rows without an entry get
+    equal shares from it.
+    """
+    names, clean = classes(df), df.where(F.col("label").isNotNull())
+    cuts, k = decile_cuts(clean, features), len(names)
+    bins = _bins(features, cuts)
+    grouped = clean.select(F.array(*bins).alias("b"), _place(names).alias("y")).groupBy("b", "y").agg(F.count("*").alias("n")).persist()
+    counts = [np.zeros((len(c) + 1, k)) for c in cuts]
+    for r in grouped.select("y", "n", F.posexplode("b").alias("i", "v")).groupBy("i", "v", "y").agg(F.sum("n").alias("n")).collect():  # bins * classes rows
+        counts[r["i"]][r["v"], r["y"]] = r["n"]
+    rows = counts[0].sum(axis=0)
+
+    def chance(i: int, v: Column, c: int, out: Column | int) -> Column:
+        """log of the share of value v of attribute i in class c, without ``out`` rows."""
+        return F.log((F.get(F.array(*map(F.lit, counts[i][:, c].tolist())), v) - out + 1.0) / (float(rows[c]) - out + float(len(counts[i]))))
+
+    sums = [F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"t{c}") for c in range(k)]
+    own = [(F.col("y") == c).cast("int") for c in range(k)]
+    shown = grouped.select("b", "y", "n", F.array(*(F.array(*(chance(i, F.get("b", F.lit(i)), c, own[c]) for c in range(k))) for i in range(len(features)))).alias("l"))
+
+    def right(choices: list[tuple[tuple, tuple]]) -> list[int]:
+        def one(j: int, table: tuple, rest: tuple) -> Column:
+            logs = [reduce(lambda a, b: a + b, (F.get(F.get("l", F.lit(i)), F.lit(c)) for i in rest), F.lit(0.0)) for c in range(k)]
+            return F.struct(F.lit(j).alias("j"), F.array(*(F.get("b", F.lit(i)) for i in table)).cast("array<int>").alias("key"), F.array(*logs).alias("logs"))
+
+        each = shown.select("y", "n", F.inline(F.array(*(one(j, *x) for j, x in enumerate(choices)))))
+        table = each.groupBy("j", "key").agg(*sums)
+        scores = [F.log(F.col(f"t{c}") - own[c] + 1.0) + F.get("logs", F.lit(c)) for c in range(k)]
+        guess = F.array_position(F.array(*scores), F.array_max(F.array(*scores))) - 1
+        found = each.join(table, ["j", "key"]).groupBy("j").agg(F.sum(F.when(guess == F.col("y"), F.col("n")).otherwise(0)).alias("n"))
+        return [n for _, n in sorted((r["j"], r["n"]) for r in found.collect())]
+
+    table, rest = tuple(range(len(features))), ()
+    best = right([(table, rest)])[0] if k > 1 else 0
+    while table and k > 1:
+        choices = [(tuple(x for x in table if x != i), more) for i in table for more in (rest, (*rest, i))]
+        found = right(choices)
+        if max(found) < best:
+            break
+        best, (table, rest) = max(found), choices[found.index(max(found))]
+    grouped.unpersist()
+    key = F.array(*(bins[i] for i in table)).cast("array<int>")
+    entries = clean.select(key.alias("__key"), _place(names).alias("y"), F.lit(1).alias("n")).groupBy("__key").agg(*(x.alias(f"__t{c}") for c, x in enumerate(sums)))
+
+    def score(d: DataFrame) -> DataFrame:
+        joined = d.withColumn("__key", key).join(entries, "__key", "left")
+        logs = [F.log(F.coalesce(F.col(f"__t{c}"), F.lit(0)) + 1.0) + reduce(lambda a, b: a + b, (chance(i, bins[i], c, 0) for i in rest), F.lit(0.0)) for c in range(k)]
+        return joined.withColumn("distribution", _softmax(logs)).drop("__key", *(f"__t{c}" for c in range(k)))
+
+    return Model(names, score)
+
+
 def _leaf_models(depth: int, least: int, local: Callable) -> Callable:
     """A shallow tree whose leaves hold models of their own: local(rows of all leaves, features, names) -> {leaf: distribution}."""
 
@@ -489,6 +627,8 @@ CLASSIFIERS: dict[str, Callable[[DataFrame, list[str]], Model]] = {
     "Ensemble": _stacked(),
     "NaiveBayes": naive_bayes,
     "NBTree": _leaf_models(2, 30, _bayes_leaves),
+    "HiddenNaiveBayes": hidden_bayes,
+    "DecisionTreeNaiveBayes": decision_table_bayes,
 }
 
 

@@ -106,7 +106,8 @@ def _(s, d):
 
 
 HNB = f"""{FT}, u as (select id, label, unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) f, unnest([{every(str)}]) x from ft),
- cuts as (select distinct f, unnest(quantile_disc(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) c from u group by f),
+ qs as (select f, max(x) mx, unnest(quantile_disc(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) c from u group by f),
+ cuts as (select distinct f, c from qs where c < mx),
  b as (select u.id, u.label, u.f, count(*) filter (cuts.c < u.x) b from u join cuts using (f) group by all),
  sz as (select f, count(*)+1 s from cuts group by f), nc as (select label, count(*) n from ft group by label),
  c1 as (select f, b, label, count(*) n from b group by all),

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -358,10 +359,10 @@ def _value(c: str) -> Column:
 
 
 def decile_cuts(df: DataFrame, features: list[str], bins: int = 10) -> list[list[float]]:
-    """The distinct inner quantiles of each feature over all rows; a value's bin is the number of cuts below it."""
+    """The distinct inner quantiles of each feature over all rows, below its maximum; a value's bin is the number of cuts below it."""
     at = [i / bins for i in range(1, bins)]
-    r = df.agg(*(F.percentile_approx(_value(c), at, 1_000_000).alias(f"c{i}") for i, c in enumerate(features))).first()
-    return [sorted(set(r[f"c{i}"] or [])) for i in range(len(features))]
+    r = df.agg(*(F.percentile_approx(_value(c), at, 1_000_000).alias(f"c{i}") for i, c in enumerate(features)), *(F.max(_value(c)).alias(f"m{i}") for i, c in enumerate(features))).first()
+    return [sorted({x for x in r[f"c{i}"] or [] if x < r[f"m{i}"]}) for i in range(len(features))]
 
 
 def _bins(features: list[str], cuts: list[list[float]]) -> list[Column]:
@@ -487,6 +488,92 @@ def decision_table_bayes(df: DataFrame, features: list[str]) -> Model:
     return Model(names, score)
 
 
+# ------------------------------------------------------------------------------------------------------ pruned tree
+def _outline(tree) -> tuple:
+    """The shape of a fitted tree: a leaf's number (as in its leaf column), or a pair of subtrees."""
+    lines = iter(x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip())
+    number = iter(range(2**31))
+
+    def part():
+        if next(lines).startswith("Predict"):
+            return next(number)
+        left = part()
+        next(lines)  # the other branch's condition
+        return left, part()
+
+    return part()
+
+
+def pruned_shares(shape, counts: dict[int, np.ndarray], classes_: int, confidence: float) -> dict[int, np.ndarray]:
+    """Class shares by leaf, one row added to each class, after replacing subtrees that promise no fewer errors than a leaf would.
+
+    A leaf's errors are the upper end of the confidence interval of its error rate (normal approximation to the binomial).
+    """
+    z = NormalDist().inv_cdf(1 - confidence)
+
+    def errors(c: np.ndarray) -> float:
+        n = c.sum()
+        if not n:
+            return 0.0
+        f = 1 - c.max() / n
+        return n * (f + z * z / (2 * n) + z * math.sqrt(f / n - f * f / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    def part(node) -> tuple[np.ndarray, float, dict]:
+        if isinstance(node, int):
+            c = counts.get(node, np.zeros(classes_))
+            return c, errors(c), {node: c}
+        (a, x, left), (b, y, right) = part(node[0]), part(node[1])
+        if errors(a + b) <= x + y + 0.1:
+            return a + b, errors(a + b), dict.fromkeys(left | right, a + b)
+        return a + b, x + y, left | right
+
+    return {leaf: (c + 1) / (c.sum() + classes_) for leaf, c in part(shape)[2].items()}
+
+
+def _pruned_tree(depth: int = 16, folds: int = 10, confidences: tuple = tuple(round(0.05 * i, 2) for i in range(1, 9))) -> Callable:
+    """A tree pruned at the confidence with the fewest errors in cross-validation (the smallest of equal ones).
+
+    Each fold's tree is grown once and pruned at every confidence; only counts by leaf and class leave the executors.
+    """
+
+    def fit(df: DataFrame, features: list[str]) -> Model:
+        clean = _assembled(df.where(F.col("label").isNotNull()), features).withColumn("__fold", F.pmod(F.xxhash64("id", *features), F.lit(folds)))
+        index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(clean)
+        names, rows = list(index.labels), index.transform(clean).select("__v", "__y", "__fold").persist()
+        k = len(names)
+        if k < 2:
+            rows.unpersist()
+            return Model(names, lambda d: d.withColumn("distribution", F.array(*(F.lit(1.0) for _ in names))))
+
+        def by_leaf(tree, d: DataFrame) -> dict[int, np.ndarray]:
+            out: dict[int, np.ndarray] = {}
+            for r in tree.transform(d).groupBy("__leaf", "__y").agg(F.count("*").alias("n")).collect():  # leaves * classes rows
+                out.setdefault(int(r["__leaf"]), np.zeros(k))[int(r["__y"])] = r["n"]
+            return out
+
+        grow = DecisionTreeClassifier(featuresCol="__v", labelCol="__y", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=2, impurity="entropy").fit
+        right = np.zeros(len(confidences))
+        sizes = {r["__fold"]: r["n"] for r in rows.groupBy("__fold").agg(F.count("*").alias("n")).collect()}
+        for f in sizes if len(sizes) > 1 else ():
+            train = rows.where(F.col("__fold") != f)
+            tree = grow(train)
+            shape, seen, held = _outline(tree), by_leaf(tree, train), by_leaf(tree, rows.where(F.col("__fold") == f))
+            for j, c in enumerate(confidences):
+                shares = pruned_shares(shape, seen, k, c)
+                right[j] += sum(n[shares[leaf].argmax()] for leaf, n in held.items())
+        tree = grow(rows)
+        shares = pruned_shares(_outline(tree), by_leaf(tree, rows), k, confidences[int(right.argmax())])
+        rows.unpersist()
+        table = df.sparkSession.createDataFrame([(float(leaf), p.tolist()) for leaf, p in shares.items()], "__leaf double, distribution array<double>")
+
+        def score(d: DataFrame) -> DataFrame:
+            return tree.transform(_assembled(d, features)).join(F.broadcast(table), "__leaf").drop("__leaf", "__v", "rawPrediction", "probability", "prediction")  # at most 2^depth leaves
+
+        return Model(names, score)
+
+    return fit
+
+
 def _leaf_models(depth: int, least: int, local: Callable) -> Callable:
     """A shallow tree whose leaves hold models of their own: local(rows of all leaves, features, names) -> {leaf: distribution}."""
 
@@ -590,7 +677,7 @@ def _stacked(folds: int = 3) -> Callable:
     """Tree and 25 nearest neighbours; a tree learns from their out-of-fold distributions."""
 
     def fit(df: DataFrame, features: list[str]) -> Model:
-        base, names = ["J48", "KNN25"], classes(df)
+        base, names = [_PLAIN_TREE, CLASSIFIERS["KNN25"]], classes(df)
         clean = df.where(F.col("label").isNotNull())
 
         def shown(models: list[Model], d: DataFrame) -> DataFrame:
@@ -602,15 +689,17 @@ def _stacked(folds: int = 3) -> Callable:
         meta = [f"__b{i}_{j}" for i in range(len(base)) for j in range(len(names))]
         parts = []
         for f in range(folds):
-            models = [CLASSIFIERS[b](clean.where(fold(1, folds) != f), features) for b in base]
+            models = [b(clean.where(fold(1, folds) != f), features) for b in base]
             parts.append(shown(models, clean.where(fold(1, folds) == f)).select("id", "label", *meta))
-        top = CLASSIFIERS["J48"](reduce(DataFrame.unionByName, parts), meta)
-        models = [CLASSIFIERS[b](clean, features) for b in base]
+        top = _PLAIN_TREE(reduce(DataFrame.unionByName, parts), meta)
+        models = [b(clean, features) for b in base]
         return Model(top.names, lambda d: top.score(shown(models, d)).drop(*meta))
 
     return fit
 
 
+_PLAIN_TREE = _spark_model(DecisionTreeClassifier, impurity="entropy", minInstancesPerNode=2, maxDepth=8)
+
 #: Names a model may be queued with. BayesNet, NeuralNet and Ensemble2 are refused, as are unknown names.
 CLASSIFIERS: dict[str, Callable[[DataFrame, list[str]], Model]] = {
     "RandomForest": _spark_model(RandomForestClassifier, numTrees=100, featureSubsetStrategy="log2", maxDepth=10, seed=2),
@@ -620,7 +709,7 @@ CLASSIFIERS: dict[str, Callable[[DataFrame, list[str]], Model]] = {
     "SMO": _one_against_rest(_support_vectors(None)),
     "KNN": _nearest(),
     "KNN25": _nearest(25),
-    "J48": _spark_model(DecisionTreeClassifier, impurity="entropy", minInstancesPerNode=2, maxDepth=8),
+    "J48": _pruned_tree(),
     "realAdaBoost": _one_against_rest(_real_boosting()),
     "LogitBoost": _one_against_rest(_binary_ml(GBTClassifier, maxDepth=1, maxIter=10, seed=1)),
     "RacedIncrementalLogitBoost": _one_against_rest(_committee()),
@@ -639,11 +728,14 @@ def build(df: DataFrame, features: list[str], scheme: str, selection: str = "cfs
     useful = remove_useless(df, features)
     if balance:
         df = smote(spread_subsample(df), useful)
+    df = df.persist()  # selection and fitting pass over it many times
     if selection == "cfs":
         useful = select_by_correlation(df, useful) or useful
     elif selection == "relief":
         useful = [c for c, w in relief_weights(df, useful).items() if w > 0] or useful
-    return CLASSIFIERS[scheme](df, useful)
+    model = CLASSIFIERS[scheme](df, useful)
+    df.unpersist()  # schemes that keep rows read them anew
+    return model
 
 
 def cross_validate(df: DataFrame, features: list[str], scheme: str, folds: int = 10, seed: int = 1, **options) -> DataFrame:

@@ -1,5 +1,3 @@
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +6,6 @@ from fluorite import catalogue
 from fluorite.operators import learning as L
 
 DATA = "/root/testdata/sf0.001"
-#: Minutes altogether; run with FLUORITE_SLOW=1.
-SLOW = {"Ensemble", "LibSVM", "LibSVM2", "SMO", "RacedIncrementalLogitBoost", "realAdaBoost"}
 TOY = [(i, "0", 1.0 + i, 2.0 - i) for i in range(6)] + [(10 + i, "1", 0.5 - i, 0.8 + i) for i in range(6)]
 
 
@@ -20,14 +16,102 @@ def toy(spark):
 
 @pytest.mark.parametrize("scheme", sorted(L.CLASSIFIERS))
 def test_classifiers_on_the_toy_set(spark, toy, scheme):
-    if scheme in SLOW and not os.environ.get("FLUORITE_SLOW"):
-        pytest.skip("slow")
     rows = L.CLASSIFIERS[scheme](toy, ["x", "y"]).predict(toy, ["id", "label"]).collect()
     assert len(rows) == 12 and all(abs(sum(r.distribution) - 1) < 1e-6 and r.strength == max(r.distribution) for r in rows)
     least = 6 if scheme in ("KNN", "KNN25", "Ensemble", "RacedIncrementalLogitBoost") else 10  # neighbours beyond the set size vote evenly
     assert sum(r.label == r.predicted for r in rows) >= least or scheme in ("KNN", "KNN25", "Ensemble")
 
 
+@pytest.fixture(scope="module")
+def table(spark):
+    """120 rows of four small whole numbers, two of them with the class in common, in some rows null."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (120, 4))
+    y = np.where(rng.random(120) < 0.15, rng.integers(0, 3, 120), (x[:, 0] + x[:, 1]) % 3)
+    rows = [(i, "abc"[c], *(None if i % 17 == 0 and j == 3 else float(v) for j, v in enumerate(r))) for i, (c, r) in enumerate(zip(y, x))]
+    x[::17, 3] = 0  # nulls count as 0
+    return spark.createDataFrame(rows, "id long, label string, a double, b double, c double, d double").repartition(3), x, y
+
+
+def test_hidden_bayes_against_brute_force(table):
+    df, x, y = table
+    got = {r.id: r.distribution for r in L.hidden_bayes(df, list("abcd")).predict(df, ["id"]).collect()}
+    rate = lambda *conditions: np.mean(np.logical_and.reduce(conditions))
+    w = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(4):
+            for c in range(3):
+                for u in range(4):
+                    for v in range(4):
+                        p = rate(x[:, i] == u, x[:, j] == v, y == c)
+                        w[i, j] += p * np.log(p * rate(y == c) / rate(x[:, i] == u, y == c) / rate(x[:, j] == v, y == c)) if p and i != j else 0
+    w /= w.sum(axis=1, keepdims=True)
+    for k in range(120):
+        p = []
+        for c in range(3):
+            n = np.sum(y == c)
+            q = (n + 1 / 3) / 121
+            for i in range(4):
+                own = lambda j: np.sum((x[:, i] == x[k, i]) & (x[:, j] == x[k, j]) & (y == c))  # noqa: B023, E731
+                q *= sum(w[i, j] * (own(j) + 1 / 4) / (np.sum((x[:, j] == x[k, j]) & (y == c)) + 1) for j in range(4) if j != i)
+            p.append(q)
+        assert np.allclose(got[k], np.array(p) / sum(p))
+
+
+def test_decision_table_bayes_against_brute_force(table):
+    df, x, y = table
+    got = {r.id: r.distribution for r in L.decision_table_bayes(df, list("abcd")).predict(df, ["id"]).collect()}
+
+    def logs(k, table, rest, out):
+        same = np.all(x[:, list(table)] == x[k, list(table)], axis=1) & (np.arange(120) != (k if out else -1))
+        return [np.log(np.sum(same & (y == c)) + 1) + sum(np.log((np.sum((x[:, i] == x[k, i]) & (y == c)) - (out and y[k] == c) + 1) / (np.sum(y == c) - (out and y[k] == c) + 4)) for i in rest) for c in range(3)]
+
+    right = lambda t, r: sum(int(np.argmax(np.round(logs(k, t, r, True), 9)) == y[k]) for k in range(120))
+    table_, rest = (0, 1, 2, 3), ()
+    best = right(table_, rest)
+    while table_:
+        choices = [(tuple(t for t in table_ if t != i), r) for i in table_ for r in (rest, (*rest, i))]
+        scores = [right(*c) for c in choices]
+        if max(scores) < best:
+            break
+        best, (table_, rest) = max(scores), choices[int(np.argmax(scores))]
+    for k in range(120):
+        p = np.exp(logs(k, table_, rest, False))
+        assert np.allclose(got[k], p / p.sum())
+    assert set(table_) == {0, 1} and best > 90
+
+
+def test_schemes_of_binned_values_on_odd_tables(spark, table, monkeypatch):
+    """One class, one attribute, no rows to score, an unseen value; too many cells are refused."""
+    df = table[0]
+    for scheme in (L.hidden_bayes, L.decision_table_bayes, L.CLASSIFIERS["J48"]):
+        one = scheme(df.where("label = 'a'"), ["a", "b"]).predict(df, ["id"])
+        assert {(r.predicted, r.strength) for r in one.collect()} == {("a", 1.0)}
+        model = scheme(df, ["a"])
+        assert model.predict(df.limit(0), ["id"]).count() == 0
+        odd = model.predict(spark.createDataFrame([(1, 99.0), (2, None)], "id long, a double"), ["id"]).collect()
+        assert len(odd) == 2 and all(abs(sum(r.distribution) - 1) < 1e-9 for r in odd)
+    monkeypatch.setattr(L, "PAIR_CELLS", 10)
+    with pytest.raises(ValueError):
+        L.hidden_bayes(df, ["a", "b"])
+
+
+def test_pruning():
+    """Leaves that split noise become one; a lower confidence prunes no less; useful splits stay."""
+    shape, counts = ((0, 1), (2, 3)), {0: np.array([20.0, 0]), 1: np.array([19.0, 1]), 2: np.array([0.0, 30]), 3: np.array([2.0, 1])}
+    p = L.pruned_shares(shape, counts, 2, 0.25)
+    assert np.allclose(p[0], [40 / 42, 2 / 42]) and np.allclose(p[0], p[1]) and p[2].argmax() == 1
+    kinds = [len({tuple(v) for v in L.pruned_shares(shape, counts, 2, c).values()}) for c in (0.05, 0.25, 0.4, 0.5)]
+    assert kinds == sorted(kinds) and kinds[0] >= 2
+    assert np.allclose(L.pruned_shares(0, {0: np.array([3.0, 0])}, 2, 0.25)[0], [0.8, 0.2])
+
+
+def test_pruned_tree_outline_matches_leaf_numbers(table):
+    df, x, y = table
+    rows = {r.id: r for r in L.CLASSIFIERS["J48"](df, list("abcd")).predict(df, ["id", "label"]).collect()}
+    assert sum(r.label == r.predicted for r in rows.values()) > 95
+
+
 def test_refused_classifiers(toy):
     for name in ("BayesNet", "NeuralNet", "Ensemble2", "x"):
         with pytest.raises(ValueError):

@@ -11,9 +11,9 @@ read it in place (a cogroup with the few facts each p needs), so texts are shuff
   come back.
 * Pass 2: each p sends the distinct segments of such names, each with its smallest doc_id, to the buckets of the names.
   Segments with equal hashes are compared byte by byte there. Where all segments of a name are equal, all their windows
-  are shared. The others are one collection: its suffixes are sorted, and from the transform, intervals of suffixes with
-  a common prefix are expanded breadth-first by backward extension, prefix length by prefix length, stopping at
-  ``length``. An interval there is one repeated string, and the smallest doc_id of its segments holds for each of them.
+  are shared. The others are one collection: its suffixes are sorted by ``length`` bytes, and from the transform,
+  intervals of suffixes with a common prefix (of 28 bytes at first, as the sort has left them) are expanded breadth-first
+  by backward extension, prefix length by prefix length, stopping at ``length``. An interval there is one repeated string, and the smallest doc_id of its segments holds for each of them.
 * Pass 3: each p gets back, for each window of its segments, that smallest doc_id, and removes.
 
 A name in more than ``hot`` documents (a passage in a third of a corpus has such names, and where it ends its segments
@@ -38,9 +38,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, by_number, bytes_of, eights, hash_grams, hash_ranges, ints, mapped, mix, new_path, partitions, pieces, real_id, rows_of, safe_id, squeezed, stored, u64, unsqueezed
+from .common import buckets_of, by_number, bytes_of, eights, first_bytes, hash_grams, hash_ranges, ints, mapped, mix, new_path, partitions, pieces, real_id, rows_of, safe_id, squeezed, stored, u64, unsqueezed
 
-_SPAN = 1 << 21  # bytes of segments in one transform, at most, unless one name has more
+_SPAN = 1 << 18  # bytes of segments in one transform, at most, unless one name has more
 _CHUNK = 1 << 20  # bytes of text in one row of the table (a longer document is one row)
 _SLICE = 1 << 18  # bytes of text whose windows are hashed at once
 
@@ -273,56 +273,70 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------------------------------- the transform
-def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
-    """The suffix array of symbols, in which no two suffixes agree for more than longest symbols (prefix doubling)."""
-    rank = symbols.astype(np.int64)
-    reach = 1
-    while reach <= longest:
-        beyond = np.concatenate([rank[reach:] + 1, np.zeros(min(reach, len(rank)), np.int64)])
-        _, rank = np.unique(rank * (rank.max() + 2 + beyond.max()) + beyond, return_inverse=True)
-        reach *= 2
-        if rank.max() == len(rank) - 1:
-            break
-    return np.argsort(rank, kind="stable")
+def suffix_order(strings: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(order, low, high, depth): suffixes of all strings by their first ``length`` bytes, and the places of those that agree in depth.
+
+    Prefix doubling from 7 bytes in one integer, without what is settled already. A string's end comes before any byte,
+    and suffixes that end within the bytes compared differ from all others. depth is that of the last round but one.
+    """
+    total = len(strings)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # bytes from here to the string's end
+    depth = min(7, length)
+    held = np.minimum(left, depth)
+    key = first_bytes(eights(strings)[:total], held).byteswap() | held.astype(np.uint64)
+    todo = np.argsort(key)  # what is not settled, by place
+    order, rank, slots = todo.copy(), np.empty(total, np.int64), np.arange(total)
+    key, low, high = key[todo], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while True:
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (left[todo[1:]] < depth), [True]]))
+        width = np.diff(edge)
+        rank[todo] = np.repeat(slots[edge[:-1]], width)
+        order[slots] = todo
+        several = width > 1
+        if depth == length and len(low):  # the intervals of the round before
+            return order, low, high, before
+        low, high, before = slots[edge[:-1][several]], slots[edge[:-1][several]] + width[several], depth
+        if depth == length or not len(low):
+            return order, low, high, before
+        keep = np.repeat(several, width)
+        todo, slots = todo[keep], slots[keep]
+        shift = min(depth, length - depth)
+        key = rank[todo] * (total + 1) + np.where(left[todo] > shift, rank[np.minimum(todo + shift, total - 1)] + 1, 0)
+        turn = np.argsort(key)
+        todo, key, depth = todo[turn], key[turn], depth + shift
 
 
 def repeated(strings: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(interval, position) of every suffix of a collection whose first ``length`` bytes start another suffix too.
 
-    strings are the bytes of all strings in a row; positions count in that row. Strings end in separators that differ
-    from one another, so nothing crosses from one to the next.
+    strings are the bytes of all strings in a row; positions count in that row, and intervals ascend. Nothing crosses from
+    one string to the next. The order of suffixes ends at ``length`` bytes, where the expansion ends, too; its last round
+    but one shows the intervals of shorter prefixes, from which the expansion starts.
     """
-    count, total = len(sizes), int(sizes.sum())
-    symbols = np.empty(total + count, np.int64)
-    place = np.arange(total) + np.repeat(np.arange(count), sizes)
-    symbols[place] = strings.astype(np.int64) + count
-    symbols[np.cumsum(sizes) + np.arange(count)] = np.arange(count)
-    order = suffix_order(symbols, int(sizes.max()) + 1)
-    bwt = symbols[order - 1]
-    step = np.empty(len(order), np.int64)  # the last-to-first mapping
-    step[np.argsort(bwt, kind="stable")] = np.arange(len(order))
-    head = symbols[order]
-    extends = bwt >= count
-    low, high = np.array([0]), np.array([len(order)])  # the empty prefix
-    interval = np.zeros(len(order), np.int64)
-    for _ in range(length):
-        where = gather(low, high - low)
-        ids = np.repeat(np.arange(1, len(low) + 1), high - low)
-        live = extends[where]
-        target = step[where[live]]
-        interval[:] = 0
-        interval[target] = ids[live]
-        # after one backward step, suffixes of one interval that share the new first symbol are again side by side
-        edge = np.flatnonzero(np.concatenate([[True], (interval[1:] != interval[:-1]) | (head[1:] != head[:-1]), [True]]))
-        low, high = edge[:-1], edge[1:]
-        keep = (interval[low] > 0) & (high - low > 1)
-        low, high = low[keep], high[keep]
-        if not len(low):
+    order, low, high, depth = suffix_order(strings, sizes, length)
+    place = np.empty(len(order), np.int32)  # of each suffix: the last-to-first mapping of a suffix is the place of the one before
+    place[order] = np.arange(len(order), dtype=np.int32)
+    inner = np.ones(len(order), bool)
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    interval, seen = np.empty(len(order), np.int32), np.zeros(len(order), bool)
+    where, ids = order[gather(low, high - low)], np.repeat(np.arange(len(low), dtype=np.int32), high - low)
+    for _ in range(length - depth):
+        extends = inner[where]  # the transform holds a byte, not the beginning of a string
+        target = place[where[extends] - 1]
+        interval[target], seen[target] = ids[extends], True
+        at = np.flatnonzero(seen)
+        seen[at] = False
+        where, ids = order[at], interval[at]
+        # after one backward step, suffixes of one interval that share the new first byte are again side by side
+        head = strings[where]
+        edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (head[1:] != head[:-1]), [True]])) if len(at) else np.zeros(1, np.int64)
+        width = np.diff(edge)
+        keep = np.repeat(width > 1, width)
+        where, width = where[keep], width[width > 1]
+        ids = np.repeat(np.arange(len(width), dtype=np.int32), width)
+        if not len(where):
             break
-    where = gather(low, high - low)
-    back = np.empty(len(symbols), np.int64)
-    back[place] = np.arange(total)
-    return np.repeat(np.arange(len(low)), high - low), back[order[where]]
+    return ids.astype(np.int64), where
 
 
 _ANSWER = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("hot", pa.binary())])
@@ -381,14 +395,13 @@ def _expand(length: int):
                 value = np.repeat(least[part], own)
                 interval, where = repeated(data[gather(begin[lead[part]], own)], own, length)
                 if len(where):
-                    smallest = np.full(interval.max() + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(smallest, interval, value[where])
-                    value[where] = np.minimum(value[where], smallest[interval])
-                    touched = np.unique(np.searchsorted(starts, where, side="right") - 1)
-                    for k in touched.tolist():
+                    edge = np.flatnonzero(np.diff(interval, prepend=-1))
+                    smallest = np.repeat(np.minimum.reduceat(value[where], edge), np.diff(edge, append=len(where)))
+                    where, smallest = where[smallest < value[where]], smallest[smallest < value[where]]
+                    value[where] = smallest
+                    for k in np.unique(np.searchsorted(starts, where, side="right") - 1).tolist():
                         one = value[starts[k] : starts[k] + own[k] - length + 1]
-                        if (one != least[part[k]]).any():
-                            windows[int(part[k])], counts[part[k]] = one, len(one)
+                        windows[int(part[k])], counts[part[k]] = one, len(one)
             size = counts[kind]
             flat = np.empty(int(counts.sum()), np.int64)
             base = np.cumsum(counts) - counts

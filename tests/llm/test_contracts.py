@@ -165,6 +165,31 @@ def test_op6_against_all_windows(spark, hot):
     assert Counter(tuple(r) for r in suffix_dedup.repeat_digest(docs, hot=hot).collect()) == want
 
 
+@pytest.mark.parametrize("length", [3, 7, 20, 50])
+def test_op6_order_ends_at_the_length(length):
+    """Suffixes are ordered by no more bytes than a repeat has, and the expansion starts from the intervals that the sort leaves."""
+    rng = np.random.default_rng(length)
+    base = rng.integers(0, 3, 400).astype(np.uint8)
+    strings = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 200, 12), rng.integers(length, 200, 12))]
+    for s in strings[::2]:
+        s[len(s) // 2] = 255
+    sizes, whole = np.array([len(s) for s in strings]), np.concatenate(strings)
+    order, low, high, depth = suffix_dedup.suffix_order(whole, sizes, length)
+    assert sorted(order.tolist()) == list(range(len(whole))) and depth == {3: 3, 7: 7, 20: 14, 50: 28}[length]
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    cut = lambda i, n: whole[i : min(i + n, ends[i])].tobytes()
+    assert [cut(i, length) for i in order] == sorted(cut(i, length) for i in order)
+    assert all(len({cut(i, depth) for i in order[a:b]}) == 1 for a, b in zip(low, high))
+    want: dict[bytes, list] = {}
+    for i in range(len(whole)):
+        if ends[i] - i >= length:
+            want.setdefault(cut(i, length), []).append(i)
+    got: dict[int, list] = {}
+    for k, i in zip(*map(np.ndarray.tolist, suffix_dedup.repeated(whole, sizes, length))):
+        got.setdefault(k, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(w for w in want.values() if len(w) > 1)
+
+
 def test_op8_plans_are_whole_and_tight():
     """All pieces have a place, none overlap, and sequences are no more than first-fit decreasing needs."""
     rng = random.Random(2)

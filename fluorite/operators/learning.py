@@ -14,6 +14,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, StringIndexer, VectorAssembler
@@ -22,8 +24,12 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training rows a neighbour search broadcasts at once; a larger training set is searched block by block.
+from .nearest import Index
+
+#: Training rows the ReliefF search broadcasts at once; a larger training set is searched block by block.
 NEIGHBOUR_BLOCK = 20_000
+#: Values of training rows that an index of neighbours holds.
+INDEX_VALUES = 1_000_000
 
 
 # ------------------------------------------------------------------------------------------------ attribute filters
@@ -626,20 +632,36 @@ def _logistic_leaves(rows: DataFrame, features: list[str], names: list[str]):
 def neighbours(queries: DataFrame, train: DataFrame, features: list[str], k: int) -> DataFrame:
     """id, rank, label of the k nearest training rows (squared distance, then key) with another key.
 
-    Training rows are broadcast NEIGHBOUR_BLOCK at a time; each block's k best per query are kept before blocks meet.
+    The driver collects training rows with INDEX_VALUES values at a time; queries search a block where they are, and each
+    block's k best are kept before blocks meet.
     """
-    blocks = -(-train.count() // NEIGHBOUR_BLOCK) or 1
-    q = queries.select(F.col("id"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"q{i}") for i, c in enumerate(features)))
-    x = train.where(F.col("label").isNotNull()).select(F.col("id").alias("t"), "label", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"t{i}") for i, c in enumerate(features)))
-    away = reduce(lambda a, b: a + b, ((F.col(f"q{i}") - F.col(f"t{i}")) * (F.col(f"q{i}") - F.col(f"t{i}")) for i in range(len(features))))
+    blocks = -(-train.count() * max(1, len(features)) // INDEX_VALUES) or 1
+    numbers = lambda p: [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{p}{i}") for i, c in enumerate(features)]
+    q = queries.select(F.col("id"), *(numbers("q") or [F.lit(0.0).alias("q0")]))
+    x = train.where(F.col("label").isNotNull()).select(F.col("id").alias("t"), "label", *(numbers("t") or [F.lit(0.0).alias("t0")]))
+    kinds, width = dict(q.dtypes) | dict(x.dtypes), max(1, len(features))
+    matrix = lambda table, p: np.column_stack([table.column(f"{p}{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+
+    def against(block: pa.Table):
+        known = pc.unique(block.column("t").combine_chunks())
+        known = known.take(pc.sort_indices(known, null_placement="at_start"))
+        index = Index(matrix(block, "t"), pc.index_in(block.column("t"), value_set=known).to_numpy(), k)
+        rows = block.select(["t", "label"]).combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = pc.fill_null(pc.index_in(batch.column("id"), value_set=known), -1).to_numpy(zero_copy_only=False)
+                i, j, away = index.search(matrix(batch, "q"), keys)
+                near = rows.take(pa.array(j)).combine_chunks()
+                columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column("id").take(pa.array(i)), *near.columns, pa.array(away))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "t", "label", "away"])
+
+        return run
+
+    part = lambda n: (x if blocks == 1 else x.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n)).toArrow()
+    found = [q.mapInArrow(against(part(n)), f"id {kinds['id']}, t {kinds['t']}, label {kinds['label']}, away double") for n in range(blocks)]
     rank = F.row_number().over(Window.partitionBy("id").orderBy("away", "t"))
-    found = []
-    for i in range(blocks):
-        part = x if blocks == 1 else x.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == i)
-        pairs = q.join(F.broadcast(part), ~F.col("id").eqNullSafe(F.col("t"))).select("id", "t", "label", away.alias("away"))
-        found.append(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
-    merged = reduce(DataFrame.unionByName, found)
-    return (merged if blocks == 1 else merged.withColumn("rank", rank).where(F.col("rank") <= k)).select("id", "rank", "label")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "label")
 
 
 def _nearest(k: int | None = None, tried: tuple = (25, 20, 18)) -> Callable:

@@ -169,6 +169,29 @@ def test_smote_is_the_same_at_every_size(spark, monkeypatch):
     assert all(any((low <= p).all() and (p <= high).all() for low, high in boxes) for p in made[1])
 
 
+def test_neighbours_by_index(spark, monkeypatch):
+    """The nearest rows of all, ties by key, with null keys, equal rows and blocks; distances of few of all pairs are computed."""
+    from fluorite.operators import nearest
+
+    rng = np.random.default_rng(5)
+    x, counted = rng.integers(0, 60, (900, 2)).astype(float), []
+    ids = [None, *range(1, 900)]
+    df = spark.createDataFrame([(k, "ab"[i % 2], *map(float, x[i])) for i, k in enumerate(ids)], "id long, label string, x double, y double").repartition(3)
+    for values in (1_000_000, 500):
+        monkeypatch.setattr(L, "INDEX_VALUES", values)
+        got = {}
+        for r in L.neighbours(df, df, ["x", "y"], 7).orderBy("rank").collect():
+            got.setdefault(r.id, []).append(r.label)
+        for i, k in enumerate(ids):
+            away = ((x - x[i]) ** 2).sum(axis=1)
+            assert got[k] == ["ab"[j % 2] for j in sorted(set(range(900)) - {i}, key=lambda j: (away[j], j))[:7]]
+    index = nearest.Index(x, np.arange(900), 7)
+    plain = index._away
+    index._away = lambda v, k, at: counted.append(len(v) * len(at)) or plain(v, k, at)
+    index.search(x, np.arange(900))
+    assert sum(counted) < 900 * 900
+
+
 def test_cross_validation_covers_all_rows(toy):
     rows = L.cross_validate(toy, ["x", "y"], "NaiveBayes", folds=3, balance=False).collect()
     assert sorted(r.id for r in rows) == sorted(t[0] for t in TOY)

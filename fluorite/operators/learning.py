@@ -713,7 +713,9 @@ def _stacked(folds: int = 3) -> Callable:
         for f in range(folds):
             models = [b(clean.where(fold(1, folds) != f), features) for b in base]
             parts.append(shown(models, clean.where(fold(1, folds) == f)).select("id", "label", *meta))
-        top = _PLAIN_TREE(reduce(DataFrame.unionByName, parts), meta)
+        shares = reduce(DataFrame.unionByName, parts).persist()  # a tree passes over them many times
+        top = _PLAIN_TREE(shares, meta)
+        shares.unpersist()
         models = [b(clean, features) for b in base]
         return Model(top.names, lambda d: top.score(shown(models, d)).drop(*meta))
 

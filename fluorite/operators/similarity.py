@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from . import tiles
 
 #: Rows up to which a size-bounded nested loop over a broadcast table is cheaper than an index (16 words a row).
 LOOP_ROWS = 50_000
@@ -20,27 +21,13 @@ def prepare(df: DataFrame, key: str, bits: str, words: int = 16) -> DataFrame:
     return df.where(F.col(bits).isNotNull()).select(F.col(key).alias("id"), F.col(bits).alias("bits"), B.pack(F.col(bits), words).alias("words"), F.size(bits).alias("n"))
 
 
-def candidates_by_prefix(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs that share a bit in the prefix of both, in an order that puts rare bits first; no pair at cutoff is lost."""
-    counts = right.select(F.explode("bits").alias("bit")).groupBy("bit").count()  # at most one row per bit of the fingerprint
-    ranks = F.broadcast(counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bit", "count"))).alias("often")))
-
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        order = F.array_sort(F.transform("bits", lambda b: F.struct(F.coalesce(F.try_element_at("often", b), F.lit(0)).alias("c"), b.alias("b"))))
-        cut = F.slice(order, 1, F.col("n") - F.ceil(F.lit(cutoff) * F.col("n")).cast("int") + 1)
-        return df.where("n > 0").crossJoin(ranks).select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.transform(cut, lambda x: x["b"])).alias("bit"))
-
-    a, b = prefix(left, "a"), prefix(right, "b")
-    near = (F.col("n_a") >= cutoff * F.col("n_b")) & (F.col("n_b") >= cutoff * F.col("n_a")) & (F.col("a") != F.col("b"))
-    return a.join(b, "bit").where(near).select("a", "b").distinct()
-
-
 def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, plan: str = "auto", words: int = 16) -> DataFrame:
     """mol_id1, mol_id2, score for pairs of different ids with score >= cutoff, both directions.
 
-    Plans: ``loop`` compares packed words in a size-bounded nested loop over a broadcast right side; ``prefix`` joins
-    prefix bits and verifies. ``auto`` counts the right side (a job at planning time) and loops only while it is small; pass
-    a plan to save that. Both give the same pairs. words is the width both sides were packed with.
+    Plans: ``loop`` compares packed words in a size-bounded nested loop over a broadcast right side; ``prefix`` deals both
+    sides to tiles, counts the shared bits of some columns there and verifies the pairs for which they can be enough. ``auto``
+    counts the right side (a job at planning time) and loops only while it is small. Both give the same pairs. words is the
+    width both sides were packed with.
     """
     if plan == "auto":
         plan = "loop" if right.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS else "prefix"
@@ -51,7 +38,7 @@ def similarity_join(left: DataFrame, right: DataFrame, cutoff: float = 0.85, pla
         enough = _spread_common(words) >= cutoff / (1 + cutoff) * (F.col("na") + F.col("nb")) - 1e-6  # cheap and never too strict
         pairs = a.join(F.broadcast(b), near & enough & (score >= cutoff))  # the whole condition compiles into the loop
     else:
-        pairs = candidates_by_prefix(left, right, cutoff).join(a, "a").join(b, "b").where(score >= cutoff)
+        return tiles.join(left, right, cutoff, words).select(F.col("a").alias("mol_id1"), F.col("b").alias("mol_id2"), "score")
     return pairs.select(F.col("a").alias("mol_id1"), F.col("b").alias("mol_id2"), score.alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,26 @@ def test_keys_are_gapless_however_parts_run(spark):
     assert sorted(r.k - r.n for r in store.assign_keys(rows, "n", 5, "k").collect()) == [5] * 1000
 
 
+def _bit_rows(spark, n=300):
+    rng = np.random.default_rng(7)
+    base = [set(rng.choice(1024, rng.integers(0, 90)).tolist()) for _ in range(n // 3)]
+    sets = base + [b | set(rng.choice(1024, 5).tolist()) for b in base] + [set(list(b)[3:]) for b in base]
+    df = spark.createDataFrame([(i, [int(b) for b in sorted(s)]) for i, s in enumerate(sets)], "id long, bits array<int>")
+    score = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    return similarity.prepare(df, "id", "bits"), sets, score
+
+
+def test_similarity_tiles_against_brute_force(spark, monkeypatch):
+    """Pairs of one table and of two, from several tiles, without a shuffle of pairs."""
+    fp, sets, score = _bit_rows(spark)
+    monkeypatch.setattr(similarity.tiles, "JOIN_ROWS", 50)
+    for left in (fp, fp.where("id < 100")):
+        joined = similarity.similarity_join(left, fp, 0.85, "prefix")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+        want = {(a, b): score(sets[a], sets[b]) for a in range(300 if left is fp else 100) for b in range(300) if a != b}
+        assert {(r[0], r[1]): r[2] for r in joined.collect()} == {k: v for k, v in want.items() if v >= 0.85}
+
+
 def test_certainty_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     fp = similarity.prepare(spark.createDataFrame([(i, sorted(rng.sample(range(40), 12))) for i in range(60)], "id long, bits array<int>"), "id", "bits").cache()

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
@@ -87,16 +85,10 @@ def substructure_screen(fps: DataFrame, query: Column, limit: int = 100, verify=
 
 def certainty(queries: DataFrame, train: DataFrame, k: int = 5, compat: bool = False) -> DataFrame:
     """Mean of the k best similarities to the training set; with compat a row may match itself."""
-    a, b = _spread(queries, "a"), _spread(train, "b")
-    rank = F.row_number().over(Window.partitionBy("mol_id").orderBy(F.desc("s"), "id"))
-    blocks, best = -(-train.count() // LOOP_ROWS) or 1, []
-    for i in range(blocks):  # a broadcast block at a time; of each, only a query's k best go on
-        part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i)
-        pairs = a.join(F.broadcast(part), F.lit(True) if compat else F.col("a") != F.col("b"))
-        scored = pairs.select(F.col("a").alias("mol_id"), F.col("b").alias("id"), _spread_tanimoto().alias("s"))
-        best.append(scored.withColumn("r", rank).where(F.col("r") <= k))
-    merged = best[0] if blocks == 1 else reduce(DataFrame.unionByName, best).withColumn("r", rank).where(F.col("r") <= k)
-    return merged.groupBy("mol_id").agg(F.avg("s").alias("certainty_score"))
+    found = tiles.best(queries, train, k, compat).where(F.size("scores") > 0)
+    scores = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k)
+    merged = found.groupBy(F.col("id").alias("mol_id")).agg(scores.alias("scores"))
+    return merged.select("mol_id", (F.aggregate("scores", F.lit(0.0), lambda x, y: x + y) / F.size("scores")).alias("certainty_score"))
 
 
 def squared_distance(columns: list[str], query: dict[str, int]) -> Column:

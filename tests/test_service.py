@@ -121,6 +121,22 @@ def test_similarity_tiles_against_brute_force(spark, monkeypatch):
         assert {(r[0], r[1]): r[2] for r in joined.collect()} == {k: v for k, v in want.items() if v >= 0.85}
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_certainty_tiles_against_brute_force(spark, monkeypatch, compat):
+    """The mean of the five best, in several tiles and ranges of columns, without a sort of all pairs."""
+    fp, sets, score = _bit_rows(spark)
+    monkeypatch.setattr(similarity.tiles, "TRAIN_ROWS", 120)
+    found = similarity.certainty(fp, fp, compat=compat)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {a: np.mean(sorted((score(sets[a], sets[b]) for b in range(300) if compat or a != b), reverse=True)[:5]) for a in range(300)}
+    assert {r[0]: r[1] for r in found.collect()} == pytest.approx(want)
+    one, k = similarity.tiles, 5
+    rows = one.pa.Table.from_batches(one._rows(fp, 16).toArrow().to_batches()).to_batches()
+    monkeypatch.setattr(one, "_COLUMNS", 32)
+    side = one.Side(rows, 16)
+    assert {i: np.mean(s) for i, s in zip(side.keys.tolist(), one.best_scores(side, side, k, compat))} == pytest.approx(want)
+
+
 def test_certainty_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     fp = similarity.prepare(spark.createDataFrame([(i, sorted(rng.sample(range(40), 12))) for i in range(60)], "id long, bits array<int>"), "id", "bits").cache()
